@@ -138,11 +138,11 @@ def truth_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.when(
             key % 30 == 0,
             F.struct(
-                F.concat(F.lit("decoy-"), num),
-                F.lit("decoy"),
-                decoy,
-                ids("SPL"),
-                F.lit(None).cast("decimal(18,2)"),
+                F.concat(F.lit("decoy-"), num).alias("case_id"),
+                F.lit("decoy").alias("kind"),
+                decoy.alias("label"),
+                ids("SPL").alias("transaction_ids"),
+                F.lit(None).cast("decimal(18,2)").alias("amount"),
             ),
         ),
     )

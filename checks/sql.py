@@ -271,7 +271,14 @@ def title(d: str) -> str:
     """Titles for departments made of plain words (no apostrophes)."""
     key = f"lower({department_key(d)})"
     piece = "upper(substr(w, 1, 1)) || substr(w, 2)"
-    hyphened = f"array_to_string(list_transform(string_split({key}, '-'), lambda h: array_to_string(list_transform(string_split(h, ' '), lambda w: CASE WHEN w IN ('and', 'of', 'the') AND NOT starts_with({key}, w) THEN w ELSE {piece} END), ' ')), '-')"
+    titled = (
+        f"array_to_string(list_transform(string_split(w, '-'), lambda h:"
+        f" {piece.replace('w', 'h')}), '-')"
+    )
+    hyphened = (
+        f"array_to_string(list_transform(string_split({key}, ' '), lambda w, i:"
+        f" CASE WHEN i > 1 AND w IN ('and', 'of', 'the') THEN w ELSE {titled} END), ' ')"
+    )
     return f"CASE WHEN {key} = '' THEN 'Unassigned' ELSE {hyphened} END"
 
 

@@ -17,7 +17,12 @@ def parse_money(cell: Column) -> Column:
     A value with more than two decimals is not rounded: it is unusable, so that
     strict ingest fails on it and permissive ingest rejects it.
     """
-    text = F.regexp_replace(optional_text(cell), r"[$,_]", "")
+    return read_money(optional_text(cell))
+
+
+def read_money(stripped: Column) -> Column:
+    """``parse_money`` of text that is already stripped."""
+    text = F.translate(stripped, "$,_", "")
     wide = F.when(text.rlike(_NUMBER), text.try_cast("decimal(38,18)"))
     lost = text.rlike(r"\.\d{18}\d*[1-9]")
     exact = wide.try_cast(MONEY)

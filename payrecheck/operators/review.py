@@ -91,10 +91,11 @@ def in_queue_order(queue: DataFrame) -> DataFrame:
 
 def with_display_labels(queue: DataFrame) -> DataFrame:
     """Text columns for a screen: money, signal, percent."""
+    given = F.col("confidence").isNotNull()
     clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence")))
     spaced = signal_label(F.col("signal"))
     # Percent rounds halves up, as a screen does.
-    percent = F.concat(F.floor(clamped * 100 + 0.5).cast("string"), F.lit("%"))
+    percent = F.when(given, F.concat(F.floor(clamped * 100 + 0.5).cast("string"), F.lit("%")))
     return queue.withColumns(
         {
             "amount_label": money_label(F.col("amount_at_risk")),

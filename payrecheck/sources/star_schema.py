@@ -45,13 +45,13 @@ def ledger_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
     key = F.col("o_orderkey")
     amount = F.col("l_quantity").cast(MONEY)
-    number = F.concat(F.lit("ORD"), F.lpad(key.cast("string"), 9, "0"))
+    number = F.lpad(key.cast("string"), 9, "0")
     digits = F.lpad((key % 400).cast("string"), 6, "0")
     vendor = F.concat(F.col("c_name"), F.lit(" Inc."))
     invoice = F.concat(F.lit("INV-"), digits)
     department = F.col("o_orderpriority")
 
-    def entry(prefix="", name=vendor, inv=invoice, paid=amount, dept=department):
+    def entry(prefix="ORD", name=vendor, inv=invoice, paid=amount, dept=department):
         return F.struct(
             F.concat(F.lit(prefix), number).alias("transaction_id"),
             name.alias("vendor_name_raw"),
