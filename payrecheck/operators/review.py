@@ -10,6 +10,7 @@ from payrecheck.functions.names import (
     approver_for,
     mask_canonical,
     mask_personal_name,
+    redact_pair,
     title_department,
 )
 from payrecheck.functions.text import optional_text, signal_label, strip
@@ -120,8 +121,12 @@ def _masked(side: str) -> Column:
 
 
 def finding_view(findings: DataFrame) -> DataFrame:
-    """One finding in full: both payments with personal names masked."""
+    """One finding in full, with personal names masked wherever they occur."""
     left = F.col("l")
+    masked_evidence = F.transform(
+        "verdict.evidence",
+        lambda e: e.withField("values", F.transform(e["values"], redact_pair)),
+    )
     return findings.select(
         "candidate_id",
         "amount_at_risk",
@@ -130,8 +135,8 @@ def finding_view(findings: DataFrame) -> DataFrame:
         title_department(left["department"]).alias("department"),
         _masked("l").alias("left"),
         _masked("r").alias("right"),
-        "verdict.reasoning",
-        "verdict.evidence",
+        redact_pair(F.col("verdict.reasoning")).alias("reasoning"),
+        masked_evidence.alias("evidence"),
         "verdict.model_used",
         "verdict.confidence",
         "verdict.verdict",
