@@ -15,6 +15,11 @@ from payrecheck.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("payrecheck-tests", "8")
+    # Tiny tables: compiling code for each plan would take most of the time.
+    # ``checks.compare`` runs the same operators with generated code.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 

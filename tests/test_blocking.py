@@ -116,7 +116,7 @@ def test_matches_brute_force(spark, make_payments, cap, invoices, partitions):
         assert found(block(payments.repartition(5), caps, cap)) == want
         stats = blocking_stats(payments, caps, cap).first()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert (stats.rows_in, stats.max_bucket, stats.pair_comparisons) == (120, largest, compared)
 
 

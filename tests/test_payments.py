@@ -29,7 +29,7 @@ def test_agree_or_null(spark, make_lines, partitions):
         got = {r.transaction_id: r for r in payments.collect()}
         named = {tuple(r) for r in field_disagreements(payments).collect()}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert got["a"].department == "FIRE"
     assert got["a"].vendor_name_raw == ""
     assert got["a"].po_number is None
