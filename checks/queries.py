@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +25,17 @@ from payrecheck.operators.explanations import (
     payment_series,
     related_payments,
 )
-from payrecheck.operators.findings import rules_only_verdicts
 from payrecheck.operators.funnel import dollars_at_risk, funnel, survivors
 from payrecheck.operators.payments import aggregate_payments, field_disagreements
 from payrecheck.operators.planting import plant_cases
 from payrecheck.operators.rules import apply_decision_rules
 from payrecheck.operators.signals import default_signals
-from payrecheck.plans.runs import rules_only, rules_only_run, staged_payments
+from payrecheck.plans.runs import (
+    payments_from_lines,
+    rules_only,
+    rules_only_run,
+    staged_payments,
+)
 from payrecheck.schema import Capabilities
 from payrecheck.session import shared_dir, stage
 from payrecheck.sources import ledger_csv as C
@@ -290,8 +293,6 @@ def first_ledger_rows(spark, d):
     )
 )
 def aggregate_to_payments(spark, d):
-    from payrecheck.plans.runs import payments_from_lines
-
     payments = payments_from_lines(L.lines_of(spark, d))
     text = F.array_join(F.col("distinct_line_amounts").cast("array<string>"), ",")
     return payments.withColumn("line_amounts", text).drop(
@@ -551,7 +552,7 @@ answered AS (
 )"""
 
 
-def _adjudicated(spark, d, context: bool = False):
+def _adjudicated(spark, d):
     payments = L.payments_of(spark, d)
     left, dismissed = dismiss(B.block(payments), payments)
     left = stage(left, "residual")
