@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrecheck.llm import boilerplate, quality
+from payrecheck.llm import boilerplate, ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@registered()
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 3-word n-grams, Jaccard 0.9."""
+    return ngram_join.link_documents(table(spark, folder, "documents"))
+
+
 # Pages are distinct texts of a host; @norm@ is the compared form of a line.
 _LINES = r"""
 docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
