@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrecheck.llm import boilerplate, ngram_join, quality
+from payrecheck.llm import boilerplate, decontaminate, ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@registered()
+def op3_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items within documents: word 5-grams, weighted similarity 0.8."""
+    return decontaminate.find_items(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
