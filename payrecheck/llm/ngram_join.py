@@ -309,3 +309,15 @@ def link_documents(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
             "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
         )
     )
+
+
+def one_of_each(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
+    """``docs`` without the documents that are linked to one of a lesser doc_id.
+
+    Rows equal in doc_id and text are one document and leave one row; rows
+    without doc_id stay.
+    """
+    linked = link_documents(docs, rule)
+    gone = linked.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"])

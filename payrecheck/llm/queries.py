@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrecheck.llm import boilerplate, decontaminate, ngram_join, quality
+from payrecheck.llm import boilerplate, decontaminate, ngram_join, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,16 @@ def op3_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_items(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
+
+
+@registered()
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every text, as their number and hash, and whether they decode to it."""
+    model = pieces.load_model()
+    coded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    return pieces.decode(coded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
