@@ -56,6 +56,9 @@ class JoinRule:
     verify_cost: float = 0.5
 
 
+#: Nodes that may be broadcast (about 16 bytes each); more are joined by a shuffle.
+BROADCAST_NODES = 2_000_000
+
 #: Distinct hashes a task holds before it reports those it met twice.
 _HELD = 1 << 22
 
@@ -176,7 +179,13 @@ def _close(rule: JoinRule, a: str = "n_a", b: str = "n_b"):
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: JoinRule, name: str) -> DataFrame:
     """The pairs (a, b) of class nodes whose whole sets reach the threshold, as u, v."""
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    nodes = stage(
+        pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(),
+        f"{name}-nodes",
+    )
+    # Texts stay where they are while the nodes are few.
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def whole(batches):
@@ -192,7 +201,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: JoinRule, name: str) -> D
 
     grams = stage(
         docs.select("doc_id", "text")
-        .join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        .join(nodes, "doc_id", "left_semi")
         .mapInArrow(whole, f"node {kind}, grams array<long>"),
         f"{name}-sets",
     )
