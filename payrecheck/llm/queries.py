@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrecheck.llm import boilerplate, decontaminate, ngram_join, pieces, quality
+from payrecheck.llm import (
+    boilerplate,
+    decontaminate,
+    langid,
+    ngram_join,
+    pieces,
+    pseudonyms,
+    quality,
+    sharding,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +157,46 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.xxhash64("ids").alias("ids_hash"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@registered()
+def op4_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document; the law is ``rows``."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return sharding.shuffle_records(table(spark, folder, "documents")).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+#: For tests; users pass a secret of their own.
+DEMONSTRATION_KEY = b"not a secret: for tests only"
+
+
+@registered()
+def op6_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts under pseudonyms, with the number of values of each kind."""
+    done = pseudonyms.pseudonymise(
+        table(spark, folder, "documents").select("doc_id", "text"), DEMONSTRATION_KEY
+    )
+    kinds = F.transform("found", lambda x: x["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+        for k in pseudonyms.KINDS
+    ]
+    return done.select("doc_id", F.size("found").cast("long").alias("n_found"), *counts, "text")
+
+
+@registered()
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learnt from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
