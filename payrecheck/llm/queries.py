@@ -16,6 +16,7 @@ from payrecheck.llm import (
     pseudonyms,
     quality,
     sharding,
+    suffix_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +201,18 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model).select(
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@registered()
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every text loses when its 400-byte strings that start elsewhere too are removed."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.aggregate(
+            "removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]
+        ).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
