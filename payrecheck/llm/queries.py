@@ -11,6 +11,7 @@ from payrecheck.llm import (
     boilerplate,
     decontaminate,
     langid,
+    licences,
     ngram_join,
     pieces,
     pseudonyms,
@@ -216,3 +217,10 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@registered()
+def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paragraph that is a licence notice, with its family."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licences.scan_licences(docs, licences.train(docs))
