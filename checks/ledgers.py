@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from payrecheck.operators.adjudication import AdjudicationConfig, request_key
 from payrecheck.operators.blocking import block
-from payrecheck.operators.findings import rules_only_verdicts
-from payrecheck.operators.review import assemble_findings
+from payrecheck.operators.review import rules_only_findings
 from payrecheck.plans.runs import staged_payments
 from payrecheck.sources.star_schema import ledger_from_orders
 
@@ -26,9 +25,7 @@ def payments_of(spark: SparkSession, folder: str) -> DataFrame:
 def findings_of(spark: SparkSession, folder: str) -> DataFrame:
     """Rules-only findings of the derived ledger with both payments attached."""
     payments = payments_of(spark, folder)
-    candidates = block(payments)
-    verdicts = rules_only_verdicts(candidates, payments)
-    return assemble_findings(candidates, verdicts, payments)
+    return rules_only_findings(block(payments), payments)
 
 
 def digit(column: str, place: int) -> Column:

@@ -416,6 +416,48 @@ def blocking_work(spark, d):
     return B.blocking_stats(L.payments_of(spark, d), cap=CAP)
 
 
+@registered(
+    q.query(
+        *_TX,
+        q.capped_buckets(CAP),
+        """
+left_out AS (
+  SELECT family, key, CAST(sum(n) AS BIGINT) AS payments,
+         CAST(sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2) AS BIGINT) AS pairs_not_compared
+  FROM (SELECT family, key, sub, chunk, count(*) AS n FROM bucketed GROUP BY ALL)
+  GROUP BY family, key)""",
+        select="SELECT payments, pairs_not_compared, count(*) AS keys FROM left_out"
+        " WHERE pairs_not_compared > 0 GROUP BY ALL",
+    )
+)
+def blocking_uncompared(spark, d):
+    """What a cap of 4 leaves out, by size of key."""
+    left_out = B.uncompared(L.payments_of(spark, d), CAP)
+    return left_out.groupBy("payments", "pairs_not_compared").agg(F.count("*").alias("keys"))
+
+
+_HOT = "CAST(substr(transaction_id, 4) AS BIGINT) % 53 = 0"
+_HOT_LEDGER = q.LEDGER.replace("ledger AS (", "plain AS (", 1) + f""",
+ledger AS (SELECT * REPLACE (
+  CASE WHEN {_HOT} THEN 'Hot Vendor Inc.' ELSE vendor_name_raw END AS vendor_name_raw,
+  CASE WHEN {_HOT} THEN 'INV-77' ELSE invoice_number_raw END AS invoice_number_raw) FROM plain)"""
+
+
+@registered(
+    q.query(
+        _HOT_LEDGER, q.payments(), q.candidates(), select=f"SELECT {CAND} FROM cand"
+    )
+)
+def blocking_hot_key(spark, d):
+    """A key with a fiftieth of all payments: every pair of it is compared."""
+    hot = F.substring("transaction_id", 4, 9).cast("bigint") % 53 == 0
+    lines = L.lines_of(spark, d)
+    lines = lines.withColumn(
+        "vendor_name_raw", F.when(hot, "Hot Vendor Inc.").otherwise(F.col("vendor_name_raw"))
+    ).withColumn("invoice_number_raw", F.when(hot, "INV-77").otherwise(F.col("invoice_number_raw")))
+    return B.block(staged_payments(lines)).select(*CAND.split(", "))
+
+
 @registered(q.query(*_CANDS, select="SELECT signal, count(*) AS candidates FROM cand GROUP BY signal"))
 def candidates_by_signal(spark, d):
     return B.candidates_by_signal(B.block(L.payments_of(spark, d)))
@@ -1163,11 +1205,13 @@ _NEW = "CAST(substr(transaction_id, 4) AS BIGINT) % 10 = 5"
 @registered(
     q.query(
         *_RULED,
-        "touched AS (SELECT DISTINCT transaction_id FROM ledger"
+        "touched AS MATERIALIZED (SELECT DISTINCT transaction_id FROM ledger"
         f" WHERE {_NEW} AND invoice_amount >= 25)",
-        select=f"SELECT {CAND} FROM cand WHERE (left_id IN (FROM touched) OR right_id IN"
-        " (FROM touched)) AND candidate_id NOT IN (SELECT candidate_id FROM ruled"
-        " WHERE rule IS NOT NULL)",
+        "unjudged AS MATERIALIZED (SELECT * FROM ruled WHERE rule IS NULL)",
+        "due AS (SELECT c.* FROM unjudged c LEFT JOIN touched a ON a.transaction_id = c.left_id"
+        " LEFT JOIN touched b ON b.transaction_id = c.right_id"
+        " WHERE a.transaction_id IS NOT NULL OR b.transaction_id IS NOT NULL)",
+        select=f"SELECT {CAND} FROM due",
     )
 )
 def new_candidates(spark, d):
@@ -1177,7 +1221,9 @@ def new_candidates(spark, d):
         F.col("invoice_amount") >= 25
     )
     payments = staged_payments(lines)
-    judged = dismiss(B.block(payments), payments)[1]
+    candidates = stage(B.block(payments), "candidates")
+    verdicts = dismiss(candidates, payments)[1].select("candidate_id")
+    judged = candidates.join(verdicts, "candidate_id", "left_semi")
     found = incremental_candidates(lines.filter(late), lines.filter(~late), judged)
     return found.select(*CAND.split(", "))
 

@@ -1,18 +1,23 @@
-"""Candidate pairs from capped blocking keys.
+"""Candidate pairs from blocking keys.
 
-A bucket holds the payments that share a key.  A key with more than ``cap``
-payments is divided by invoice date, and a date with more than ``cap`` payments
-into runs of ``cap`` in ``transaction_id`` order.  The cap is part of what the
-result *means* (it defines which payments are compared), and it bounds every
-bucket, so pairing within a bucket is linear work over all payments.
+Payments that share a key are compared with each other, all of them.  A key with
+more than ``TILE`` payments is divided into slices by a hash of the id, and every
+two slices make a tile of their own, so a hot key's comparisons are spread over many
+tasks and no task holds the key.  ``blocking_stats`` tells the number of pairs before a
+run, and ``key_groups`` says in linear size which payments share a key.
+
+With an explicit ``cap`` a key is divided instead of compared in full: by
+invoice date, and a date with more than ``cap`` payments into runs of ``cap`` in
+``transaction_id`` order.  The cap is then part of what the result *means*, and
+``uncompared`` lists what it left out.
 
 No step relies on a key being small:
 
 * key sizes come from a map-side combined count of 8-byte key hashes;
-* only payments under an over-cap key take the splitting path, where they are
+* only payments under a large key take the splitting path; capped, they are
   range-partitioned by ``(key, date, id)``, so that one key with a third of all
   payments is spread over a third of the tasks;
-* positions inside a split key are local row numbers plus the counts of the
+* positions inside a capped key are local row numbers plus the counts of the
   slices before, so no window ever spans more than one slice.
 """
 
@@ -34,10 +39,8 @@ from payrecheck.operators.signals import (
 from payrecheck.schema import BLOCKING_STAGE, MONEY, Capabilities
 from payrecheck.session import stage
 
-DEFAULT_CAP = 200
-# Over-cap key hashes are broadcast up to this many (16 bytes each in a hash
-# relation of about 32 MB); beyond it they are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+# Payments of a slice of a large key; two slices are compared in one group.
+TILE = 200
 # A key with more than this share of all rows is "heavy".  There can be at most
 # 1 / share of them, whatever the data, so they may always be broadcast.
 HEAVY_SHARE = 1e-4
@@ -51,15 +54,12 @@ def _over_cap_hashes(keys: DataFrame, cap: int) -> DataFrame:
     return counts.filter(F.col("n") > cap)
 
 
-def _mark_over_cap(keys: DataFrame, hashes: DataFrame, how_many: int) -> DataFrame:
-    """Add ``_n``: the size of the row's key hash where it is over the cap."""
-    if how_many <= BROADCAST_KEYS:
-        return keys.join(
-            F.broadcast(hashes.withColumnRenamed("n", "_n")), "key_hash", "left"
-        )
-    # Too many to broadcast.  Every over-cap key is counted here, so the total
-    # over them is a lower bound of all rows and 1/share still bounds the heavy.
-    total = hashes.agg(F.sum("n")).first()[0]
+def _mark_over_cap(keys: DataFrame, hashes: DataFrame, total: int) -> DataFrame:
+    """Add ``_n``: the size of the row's key hash where it is in ``hashes``.
+
+    ``total``: the rows under all of them, a lower bound of all rows, so that 1 / share
+    bounds the number of heavy keys.
+    """
     is_heavy = F.col("n") > F.lit(int(total * HEAVY_SHARE))
     heavy = hashes.filter(is_heavy).withColumnRenamed("n", "_heavy")
     light = hashes.filter(~is_heavy).select(
@@ -115,48 +115,128 @@ def _split_over_cap(rows: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def assign_buckets(keys: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
-    """Key rows with their bucket: ``family, key, sub, chunk`` and the payload.
+def _whole(keys: DataFrame, *extra: Column) -> DataFrame:
+    """Every key as one bucket."""
+    zero = F.lit(0).cast("long")
+    return keys.select(
+        "family", "key", F.lit("").alias("sub"), zero.alias("chunk"), *PAYLOAD, *extra
+    )
+
+
+def _divided(keys: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys up to ``limit``, and the others with their key's size ``_n``.
 
-    Runs one job up front: how many keys are over the cap decides the plan.
+    Runs one job up front: which keys are large.
     """
+    hashes = stage(_over_cap_hashes(keys, limit), "large-keys")
+    total = hashes.agg(F.sum("n")).first()[0]
+    if total is None:
+        return keys, None
+    marked = _mark_over_cap(keys, hashes, total)
+    return marked.filter("_n IS NULL").drop("_n"), marked.filter("_n IS NOT NULL")
+
+
+def assign_buckets(keys: DataFrame, cap: int | None = None) -> DataFrame:
+    """Key rows with their bucket: ``family, key, sub, chunk`` and the payload."""
+    if cap is None:
+        return _whole(keys)
     if cap < 1:
         raise ValueError(f"the bucket cap must be a positive integer, got {cap}")
-    whole = (
-        "family",
-        "key",
-        F.lit("").alias("sub"),
-        F.lit(0).cast("long").alias("chunk"),
-        *PAYLOAD,
+    small, large = _divided(keys, cap)
+    whole = _whole(small)
+    return whole if large is None else whole.unionByName(_split_over_cap(large.drop("_n"), cap))
+
+
+def _tiles(large: DataFrame) -> DataFrame:
+    """Each payment once for every slice of its key: the groups of two slices it is in."""
+    slices = F.ceil(F.col("_n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(29), "transaction_id"), F.col("_slices")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+    low, high = F.least("slice", "_other"), F.greatest("slice", "_other")
+    return (
+        large.withColumn("_slices", slices)
+        .withColumn("slice", own)
+        .withColumn("_other", other)
+        .select(
+            "family",
+            "key",
+            F.lit("tile").alias("sub"),
+            (low.cast("long") * F.col("_slices") + high).alias("chunk"),
+            *PAYLOAD,
+            F.when(low != high, F.col("slice")).alias("slice"),
+        )
     )
-    hashes = stage(_over_cap_hashes(keys, cap), "over-cap-keys")
-    how_many = hashes.count()
-    if how_many == 0:
-        return keys.select(*whole)
-    marked = _mark_over_cap(keys, hashes, how_many)
-    small = marked.filter("_n IS NULL").select(*whole)
-    large = _split_over_cap(marked.filter("_n IS NOT NULL").drop("_n"), cap)
-    return small.unionByName(large)
+
+
+def key_pairs(keys: DataFrame, cap: int | None = None) -> DataFrame:
+    """``family, l, r`` for each unordered pair under one key, or of one capped bucket."""
+    if cap is not None:
+        return bucket_pairs(assign_buckets(keys, cap))
+    small, large = _divided(keys, TILE)
+    buckets = _whole(small, F.lit(None).cast("int").alias("slice"))
+    return bucket_pairs(buckets if large is None else buckets.unionByName(_tiles(large)))
 
 
 def bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """``family, l, r`` for each unordered pair inside a bucket (bounded by cap).
+    """``family, l, r`` for each unordered pair inside a bucket (of bounded size).
 
-    One exchange on the bucket serves the count that drops single payments and
+    Rows with a ``slice`` are paired with those of the other slice only.  One
+    exchange on the bucket serves the count that drops single payments and
     the grouping; both sides of a pair come out of it, so nothing is joined.
     """
+    sliced = [c for c in ("slice",) if c in buckets.columns]
     shared = buckets.withColumn(
         "_n", F.count(F.lit(1)).over(W.partitionBy(*BUCKET))
     ).filter("_n > 1")
     members = shared.groupBy(*BUCKET).agg(
-        F.sort_array(F.collect_list(F.struct(*PAYLOAD))).alias("members")
+        F.sort_array(F.collect_list(F.struct(*PAYLOAD, *sliced))).alias("members")
     )
     firsts = members.select(
         "family", "members", F.posexplode("members").alias("pos", "l")
     )
     rest = F.slice("members", F.col("pos") + 2, F.size("members"))
-    return firsts.select("family", "l", F.explode(rest).alias("r")).filter(
-        "l.transaction_id < r.transaction_id"
+    pair = F.col("l.transaction_id") < F.col("r.transaction_id")
+    if sliced:
+        pair &= F.col("l.slice").isNull() | (F.col("l.slice") != F.col("r.slice"))
+    return firsts.select("family", "l", F.explode(rest).alias("r")).filter(pair)
+
+
+def uncompared(
+    payments: DataFrame,
+    cap: int,
+    capabilities: Capabilities = Capabilities(),
+    signals: tuple[SignalSpec, ...] | None = None,
+) -> DataFrame:
+    """``family, key, payments, pairs_not_compared`` of the keys that ``cap`` divides."""
+    chosen = default_signals(capabilities) if signals is None else signals
+    sizes = (
+        assign_buckets(explode_keys(payments, chosen), cap)
+        .groupBy(*BUCKET)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    left_out = pairs(F.col("payments")) - F.col("compared")
+    return (
+        sizes.groupBy("family", "key")
+        .agg(F.sum("n").alias("payments"), F.sum(pairs(F.col("n"))).alias("compared"))
+        .select("family", "key", "payments", left_out.cast("long").alias("pairs_not_compared"))
+        .filter("pairs_not_compared > 0")
+    )
+
+
+def key_groups(
+    payments: DataFrame,
+    capabilities: Capabilities = Capabilities(),
+    signals: tuple[SignalSpec, ...] | None = None,
+) -> DataFrame:
+    """``family, key, transaction_id`` of every key that several payments share.
+
+    As long as the payments, where the pairs of a key grow with the square of its size.
+    """
+    chosen = default_signals(capabilities) if signals is None else signals
+    keys = explode_keys(payments, chosen)
+    shared = keys.groupBy("family", "key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return keys.join(shared, ["family", "key"], "left_semi").select(
+        "family", "key", "transaction_id"
     )
 
 
@@ -208,19 +288,18 @@ def score_pairs(pairs_df: DataFrame, signals: tuple[SignalSpec, ...]) -> DataFra
 def block(
     payments: DataFrame,
     capabilities: Capabilities = Capabilities(),
-    cap: int = DEFAULT_CAP,
+    cap: int | None = None,
     signals: tuple[SignalSpec, ...] | None = None,
 ) -> DataFrame:
     """Candidate pairs of ``payments`` (unique ``transaction_id``) per signal."""
     chosen = default_signals(capabilities) if signals is None else signals
-    buckets = assign_buckets(explode_keys(payments, chosen), cap)
-    return score_pairs(bucket_pairs(buckets), chosen)
+    return score_pairs(key_pairs(explode_keys(payments, chosen), cap), chosen)
 
 
 def blocking_stats(
     payments: DataFrame,
     capabilities: Capabilities = Capabilities(),
-    cap: int = DEFAULT_CAP,
+    cap: int | None = None,
     signals: tuple[SignalSpec, ...] | None = None,
 ) -> DataFrame:
     """One row: payments in, largest bucket, pair comparisons over all signals.

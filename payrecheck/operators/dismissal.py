@@ -132,8 +132,8 @@ def annotate(candidates: DataFrame, payments: DataFrame, *extra: str) -> DataFra
     return explain_pairs(attach_pair(candidates, payments, (*RULE_FIELDS, *extra)))
 
 
-def dismissal_verdicts(annotated: DataFrame) -> DataFrame:
-    """A verdict for each candidate a rule dismissed."""
+def dismissal_fields() -> dict[str, Column]:
+    """The verdict columns of an annotated candidate that a rule dismissed."""
     rule = F.col("explanation_type")
 
     def both(field: str, render=text_or_empty) -> list[Column]:
@@ -154,20 +154,27 @@ def dismissal_verdicts(annotated: DataFrame) -> DataFrame:
             evidence(("transaction_id", [F.col("left_id"), F.col("right_id")]))
         )
     )
-    reason = F.coalesce(*[F.when(rule == k, F.lit(v)) for k, v in _REASONS.items()])
     zero = F.lit(0).cast("long")
-    return annotated.filter(rule.isNotNull()).select(
-        "candidate_id",
-        F.lit("dismiss").alias("verdict"),
-        "explanation_type",
-        reason.alias("reasoning"),
-        proof.alias("evidence"),
-        F.lit(1.0).alias("confidence"),
-        F.lit(DETERMINISTIC).alias("model_used"),
-        zero.alias("tokens_in"),
-        zero.alias("tokens_out"),
-        zero.alias("cache_read"),
-    ).select(*VERDICT_FIELDS)
+    return {
+        "candidate_id": F.col("candidate_id"),
+        "verdict": F.lit("dismiss"),
+        "explanation_type": rule,
+        "reasoning": F.coalesce(*[F.when(rule == k, F.lit(v)) for k, v in _REASONS.items()]),
+        "evidence": proof,
+        "confidence": F.lit(1.0),
+        "model_used": F.lit(DETERMINISTIC),
+        "tokens_in": zero,
+        "tokens_out": zero,
+        "cache_read": zero,
+    }
+
+
+def dismissal_verdicts(annotated: DataFrame) -> DataFrame:
+    """A verdict for each candidate a rule dismissed."""
+    fields = dismissal_fields()
+    return annotated.filter("explanation_type IS NOT NULL").select(
+        *[fields[f].alias(f) for f in VERDICT_FIELDS]
+    )
 
 
 def dismiss(

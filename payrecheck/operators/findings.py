@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from payrecheck.functions.money import money_text
 from payrecheck.functions.text import text_or_empty
-from payrecheck.operators.dismissal import annotate, dismissal_verdicts, evidence
+from payrecheck.operators.dismissal import annotate, dismissal_fields, evidence
 from payrecheck.schema import VERDICT_FIELDS
 
 EVIDENCE_FIELDS = (
@@ -43,24 +43,31 @@ def _finding_evidence() -> Column:
     )
 
 
-def finding_verdicts(annotated: DataFrame) -> DataFrame:
-    """Escalate each candidate without an explanation; no model, no confidence."""
+def finding_fields() -> dict[str, Column]:
+    """Escalation of an annotated candidate: no model, no confidence."""
     zero = F.lit(0).cast("long")
-    return annotated.filter("explanation_type IS NULL").select(
-        "candidate_id",
-        F.lit("escalate").alias("verdict"),
-        F.lit("none").alias("explanation_type"),
-        F.lit(_REASON).alias("reasoning"),
-        _finding_evidence().alias("evidence"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.lit(None).cast("string").alias("model_used"),
-        zero.alias("tokens_in"),
-        zero.alias("tokens_out"),
-        zero.alias("cache_read"),
-    ).select(*VERDICT_FIELDS)
+    return {
+        "candidate_id": F.col("candidate_id"),
+        "verdict": F.lit("escalate"),
+        "explanation_type": F.lit("none"),
+        "reasoning": F.lit(_REASON),
+        "evidence": _finding_evidence(),
+        "confidence": F.lit(None).cast("double"),
+        "model_used": F.lit(None).cast("string"),
+        "tokens_in": zero,
+        "tokens_out": zero,
+        "cache_read": zero,
+    }
+
+
+def verdict_columns() -> list[Column]:
+    """The verdict of an annotated candidate, by rule or as a finding."""
+    dismissed = F.col("explanation_type").isNotNull()
+    rule, finding = dismissal_fields(), finding_fields()
+    return [F.when(dismissed, rule[f]).otherwise(finding[f]).alias(f) for f in VERDICT_FIELDS]
 
 
 def rules_only_verdicts(candidates: DataFrame, payments: DataFrame) -> DataFrame:
-    """One verdict per candidate, from rules alone."""
+    """One verdict per candidate, from rules alone, in one pass over the candidates."""
     annotated = annotate(candidates, payments, "department", "description")
-    return dismissal_verdicts(annotated).unionByName(finding_verdicts(annotated))
+    return annotated.select(*verdict_columns())

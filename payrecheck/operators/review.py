@@ -14,6 +14,8 @@ from payrecheck.functions.names import (
     title_department,
 )
 from payrecheck.functions.text import optional_text, signal_label, strip
+from payrecheck.operators.dismissal import annotate
+from payrecheck.operators.findings import verdict_columns
 from payrecheck.operators.funnel import FUNNEL
 from payrecheck.operators.lookup import attach_pair
 from payrecheck.operators.spread import spread_left_join
@@ -64,6 +66,21 @@ def assemble_findings(
     )
 
 
+def rules_only_findings(candidates: DataFrame, payments: DataFrame) -> DataFrame:
+    """``assemble_findings`` of the rules' verdicts, in one pass over the candidates.
+
+    Every candidate has its verdict here; one without a payment fails the job.
+    """
+    fields = ("department", "description", *PAYMENT_FIELDS)
+    lacking = F.concat(F.lit("no payment for candidate "), F.col("candidate_id"))
+    whole = F.col("l").isNotNull() & F.col("r").isNotNull()
+    checked = F.when(whole, F.col("candidate_id")).otherwise(F.raise_error(lacking))
+    own = [c for c in candidates.columns if c != "candidate_id"]
+    return annotate(candidates, payments, *fields).select(
+        checked.alias("candidate_id"), *own, "l", "r", F.struct(*verdict_columns()).alias("verdict")
+    )
+
+
 def pending(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """Escalated or errored findings nobody has decided."""
     return findings.filter(F.col("verdict.verdict").isin(*PENDING_OUTCOMES)).join(

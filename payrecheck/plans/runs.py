@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from payrecheck.functions.text import with_canonical_keys
 from payrecheck.operators.adjudication import AdjudicationConfig, adjudicate
-from payrecheck.operators.blocking import DEFAULT_CAP, block
+from payrecheck.operators.blocking import block
 from payrecheck.operators.dismissal import dismiss
 from payrecheck.operators.findings import rules_only_verdicts
 from payrecheck.operators.payments import aggregate_payments
@@ -40,7 +40,7 @@ class Run:
 def rules_only(
     lines: DataFrame,
     capabilities: Capabilities = Capabilities(),
-    cap: int = DEFAULT_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """Stages 1-4, then every residual candidate is escalated."""
     payments = staged_payments(lines)
@@ -50,7 +50,7 @@ def rules_only(
 def rules_only_run(
     lines: DataFrame,
     capabilities: Capabilities = Capabilities(),
-    cap: int = DEFAULT_CAP,
+    cap: int | None = None,
 ) -> Run:
     """As ``rules_only``, keeping every stage; candidates are staged as well."""
     payments = staged_payments(lines)
@@ -65,7 +65,7 @@ def full_run(
     recordings: DataFrame,
     config: AdjudicationConfig,
     capabilities: Capabilities = Capabilities(),
-    cap: int = DEFAULT_CAP,
+    cap: int | None = None,
 ) -> Run:
     """Stages 1-5: dismissals plus recorded answers, one verdict per candidate."""
     payments = staged_payments(lines)

@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 
 from payrecheck.operators import blocking
-from payrecheck.operators.blocking import block, blocking_stats
+from payrecheck.operators.blocking import block, blocking_stats, key_groups, uncompared
 from payrecheck.schema import Capabilities
 
 
@@ -120,8 +120,7 @@ def test_matches_brute_force(spark, make_payments, cap, invoices, partitions):
     assert (stats.rows_in, stats.max_bucket, stats.pair_comparisons) == (120, largest, compared)
 
 
-def test_too_many_keys_to_broadcast(monkeypatch, make_payments):
-    monkeypatch.setattr(blocking, "BROADCAST_KEYS", 0)
+def test_heavy_keys_and_keys_joined_by_shuffle(monkeypatch, make_payments):
     # Half of the keys are heavy under this share, half are joined by shuffle.
     monkeypatch.setattr(blocking, "HEAVY_SHARE", 0.05)
     payments = make_payments(random_rows(5, 120)).cache()
@@ -143,6 +142,46 @@ def test_one_hot_key_is_chunked_by_id(spark, make_payments):
     assert max(degree.values()) == 19
 
 
+@pytest.mark.parametrize("tile", [7, 50, 1000])
+def test_without_a_cap_every_pair_of_a_key_is_compared(monkeypatch, make_payments, tile):
+    monkeypatch.setattr(blocking, "TILE", tile)
+    payments = make_payments(random_rows(3, 120)).cache()
+    want, largest, compared = brute_force(payments.collect(), Capabilities(), 10**6)
+    assert found(block(payments)) == want
+    stats = blocking_stats(payments).first()
+    assert (stats.max_bucket, stats.pair_comparisons) == (largest, compared)
+    assert uncompared(payments, 10**6).count() == 0
+
+
+def test_no_group_holds_a_hot_key(spark, make_payments):
+    """300 payments of one key: pairs are complete, and groups stay near two slices."""
+    payments = make_payments([{"tid": f"T{i:04d}"} for i in range(300)])
+    keys = blocking.explode_keys(payments, blocking.default_signals(Capabilities()))
+    exact = keys.filter("family = 'exact'") if "exact" in {
+        r.family for r in keys.select("family").distinct().collect()
+    } else keys
+    spark_tile, blocking.TILE = blocking.TILE, 30
+    try:
+        _, large = blocking._divided(exact, 30)
+        sizes = blocking._tiles(large).groupBy("family", "key", "chunk").count().collect()
+        got = found(block(payments))
+    finally:
+        blocking.TILE = spark_tile
+    assert max(r["count"] for r in sizes) < 120
+    assert len([k for k in got if k[0] == "exact_duplicate"]) == 300 * 299 // 2
+
+
+def test_uncompared_tells_what_a_cap_left_out(make_payments):
+    payments = make_payments([{"tid": f"T{i:04d}"} for i in range(50)])
+    per_key = {r.pairs_not_compared for r in uncompared(payments, 20).collect()}
+    # Runs of 20, 20 and 10 are compared within.
+    assert per_key == {50 * 49 // 2 - 2 * 190 - 45}
+    full, capped = found(block(payments)), found(block(payments, cap=20))
+    assert len(full) > len(capped) and set(capped) <= set(full)
+    members = key_groups(payments).groupBy("family", "key").count().collect()
+    assert {r["count"] for r in members} == {50}
+
+
 def test_hot_key_is_split_by_date_first(make_payments):
     rows = [
         {"tid": f"T{i:04d}", "invoice_date": dt.date(2024, 1, 1 + i % 2)} for i in range(250)

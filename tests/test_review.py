@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from payrecheck.operators import packets as K
 from payrecheck.operators import review as R
+from payrecheck.operators.blocking import block
 from payrecheck.operators.findings import rules_only_verdicts
 from payrecheck.operators.rules import apply_decision_rules
 from payrecheck.schema import CANDIDATE, DECISION
@@ -68,6 +69,19 @@ def test_a_candidate_without_verdict_fails(spark, world):
     assert R.assemble_findings(candidates, few, payments, strict=False).count() == 1
 
 
+def test_findings_in_one_pass_equal_the_assembled(make_payments):
+    """One pair generator, and each payment table read once a side."""
+    rows = [{"tid": t} for t in "abc"] + [{"tid": "d", "payment_status": "VOID"}]
+    payments = make_payments(rows).cache()
+    candidates = block(payments)
+    once = R.rules_only_findings(candidates, payments)
+    apart = R.assemble_findings(candidates, rules_only_verdicts(candidates, payments), payments)
+    key = lambda r: (r.candidate_id, r.verdict.verdict, r.verdict.explanation_type, r.l.amount)
+    assert sorted(map(key, once.collect())) == sorted(map(key, apart.collect()))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Union") <= 1
+
+
 def test_intake(spark, world):
     _, _, findings = world
     rows = [
