@@ -136,7 +136,7 @@ def _as_los_angeles_cells(lines: DataFrame) -> DataFrame:
 def ingest_los_angeles(spark, d):
     path = _scratch(spark, "los-angeles")
     C.write_cells(_as_los_angeles_cells(L.lines_of(spark, d)), path)
-    return C.read_ledger(spark, path, LOS_ANGELES)
+    return C.read_ledger(spark, path, LOS_ANGELES, multiline=True)
 
 
 def _as_oklahoma_cells(lines: DataFrame) -> DataFrame:
