@@ -41,6 +41,9 @@ def drop_boilerplate(
     host: str = "source",
 ) -> DataFrame:
     """``docs`` with cleaned texts; added: ``n_lines``, ``n_dropped`` (long)."""
+    names = docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    text, host = f"c{names.index(text)}", f"c{names.index(host)}"
     lines = page_lines(docs, text, host, trimmed)
     often = frequent_lines(lines, host_pages(docs, text, host), limits.ratio, limits.pages)
     drops = (
@@ -69,4 +72,5 @@ def drop_boilerplate(
         )
         .withColumn(text, F.coalesce(F.array_join("_kept", "\n"), F.col(text)))
         .drop("_host", "_page", "_drop", "_kept")
+        .toDF(*names, "n_lines", "n_dropped")
     )
