@@ -9,7 +9,7 @@ from payrecheck.operators.adjudication import AdjudicationConfig, request_key
 from payrecheck.operators.blocking import block
 from payrecheck.operators.review import rules_only_findings
 from payrecheck.plans.runs import staged_payments
-from payrecheck.sources.star_schema import ledger_from_orders
+from checks.star_schema import ledger_from_orders
 
 CONFIG = AdjudicationConfig(model_fast="fast-model", model_escalate="careful-model")
 
