@@ -6,16 +6,17 @@ anchor lie all windows that can have picked it: its segment.  Anchors that occur
 are dropped; equal segments become one with a multiplicity.  Only hashes move so far.
 
 Matching.  The segments of one anchor meet in one group, and groups are packed into
-blocks of about a megabyte.  A block's suffixes are sorted to beyond ``length`` bytes, which
+blocks of about half a megabyte.  A block's suffixes are sorted to beyond ``length`` bytes, which
 gives its Burrows-Wheeler transform.  Backward extension of intervals, breadth
 first, then sets common prefixes by increasing value and stops at ``length``: suffixes with no
 boundary between them share at least that much.
 
-An anchor with more distinct segments than a group may hold (a passage in very many
-different surroundings) is not sorted in one task: parts of its segments long enough to be
-in each of 41 windows are counted by hash, and the windows of those met twice are, with
-partial sums and a join that can be split.  Copies of a whole text are one text from the
-start, so a group of copies of any size costs one row.
+Segments enter a group only with a core, the bytes that 41 neighbouring windows have in
+common, which another segment of the anchor has too; that is necessary for equal windows.
+An anchor that still has more segments than a group may hold (a long passage in very many
+different surroundings) is not sorted in one task: the windows around its shared cores are
+counted by hash, with partial sums and a join that can be split.  Copies of a whole text are one
+text from the start, so a group of copies of any size costs one row.
 
 Defined results: a null text has no bytes and loses none; texts under ``length`` bytes lose
 none; equal texts, repeated rows included, lose everything from ``length`` bytes on; other
@@ -42,12 +43,12 @@ class RepeatRule:
 
     length: int = 400
     anchor: int = 32
-    group: int = 1024
-    block_bytes: int = 1 << 20
+    group: int = 512
+    block_bytes: int = 1 << 19
 
 
 #: Texts that may be broadcast as keys (about 100 bytes each); more meet theirs by a shuffle.
-BROADCAST_TEXTS = 200_000
+BROADCAST_TEXTS = 20_000
 _STEP = 41
 
 
@@ -159,21 +160,30 @@ def sort_suffixes(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nd
         key = key << 9 | value
         alive &= value > 0
     key = key << 21 | np.where(near, sep + 1, 0)
-    width, first = 4, None
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        if width <= 32:
-            first = new
-        if width >= depth or new.all():
-            return order, first if first is not None else new
+    width = 4
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = new
+    while width < depth:
+        # Only suffixes that are still equal to a neighbour are sorted on.
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + ahead
+        mine = order[tied]
+        ahead = mine + width
+        key = rank[mine] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[tied] = mine[by]
+        key = key[by]
+        new = new.copy()
+        new[tied] = np.concatenate(([True], key[1:] != key[:-1]))
         width *= 2
+        if width <= 32:
+            first = new
+    return order, first
 
 
 def shared_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, start: int, length: int):
@@ -213,7 +223,7 @@ def shared_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, star
             # Separators differ from each other.
             byte = np.where(byte == 0, 257 + at, byte)
             group = np.repeat(np.arange(len(more)), counts) * (n + 512) + byte
-            by = np.argsort(group, kind="stable")
+            by = np.argsort(group)
             edge = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1])))
             to = lf[at[by]]
             nlo.append(np.minimum.reduceat(to, edge))
@@ -285,7 +295,7 @@ def _by_blocks(segments: DataFrame, rule: RepeatRule) -> DataFrame:
             np.array([r["n"] > 1 for r in rows]),
             rule.length,
         )
-        runs = [_runs(f) for f in found]
+        runs = [_runs(f + r["cut"]) for f, r in zip(found, rows, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r["anchor"] for r in rows], pa.int64()),
@@ -311,69 +321,83 @@ def _by_blocks(segments: DataFrame, rule: RepeatRule) -> DataFrame:
     return segments.mapInArrow(match, _FOUND)
 
 
-def _by_counts(segments: DataFrame, rule: RepeatRule) -> DataFrame:
-    """The same for anchors with too many segments for one group, by counted hashes."""
+_HASHED = "anchor long, segment long, at int, h long, place long, many boolean"
+
 
+def _hashed(rule: RepeatRule, cores: bool):
+    """A task that hashes, of each segment, its cores or the windows of one ``part``.
+
+    Starts count from where a whole segment would begin, so equal windows, which lie equally
+    far from their anchor, have equal parts.  A core is what all windows that start
+    within the same ``_STEP`` places have in common.
+    """
     window = rule.length - rule.anchor
 
-    def hashed(cores: bool):
-        def run(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    data = np.frombuffer(row["bytes"], np.uint8)
-                    last = len(data) - rule.length
-                    # Places count from where a whole segment would begin: equal windows lie
-                    # equally far from their anchor.
-                    shift = window - row["left"]
-                    if cores:
-                        part = np.arange(shift // _STEP, (last + shift) // _STEP + 1)
-                        start, end = part * _STEP + _STEP - 1 - shift, part * _STEP - shift + rule.length
-                    else:
-                        part = row["part"]
-                        start = np.arange(
-                            max(0, part * _STEP - shift), min(last, part * _STEP + _STEP - 1 - shift) + 1
-                        )
-                        end = start + rule.length
-                    n = len(start)
-                    h = _Rolling(data).at(start, end)
-                    place = mix(np.array([row["h1"]], np.int64).view(np.uint64)) + (
-                        start + row["origin"]
-                    ).astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["anchor"]] * n, pa.int64()),
-                            pa.array([row["segment"]] * n, pa.int64()),
-                            pa.array(part if cores else start, pa.int32()),
-                            pa.array(h.view(np.int64)),
-                            pa.array(place.view(np.int64)),
-                            pa.array([row["n"] > 1] * n, pa.bool_()),
-                        ],
-                        ["anchor", "segment", "at", "h", "place", "many"],
-                    )
+    def column(batch: pa.RecordBatch, name: str, at: int, n: int) -> np.ndarray:
+        return batch.column(name).slice(at, n).to_numpy(zero_copy_only=False)
 
-        return run
+    def run(batches):
+        for batch in batches:
+            for at, part_ in pieces(batch.column("bytes")):
+                n = len(part_)
+                data, offsets = raw(part_)
+                rolling = _Rolling(data)
+                shift = window - column(batch, "left", at, n)
+                last = np.diff(offsets) - rule.length
+                if cores:
+                    low = shift // _STEP
+                    count = (last + shift) // _STEP - low + 1
+                else:
+                    part = column(batch, "part", at, n).astype(np.int64)
+                    cut = column(batch, "cut", at, n)
+                    low = np.maximum(0, part * _STEP - shift)
+                    count = np.minimum(last, part * _STEP + _STEP - 1 - shift) - low + 1
+                row = np.repeat(np.arange(n), count)
+                where = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                if cores:
+                    start = where * _STEP + _STEP - 1 - shift[row]
+                    end = where * _STEP - shift[row] + rule.length
+                else:
+                    start, end = where, where + rule.length
+                h = rolling.at(offsets[:-1][row] + start, offsets[:-1][row] + end)
+                h1 = mix(column(batch, "h1", at, n).astype(np.int64).view(np.uint64))
+                place = h1[row] + (start + column(batch, "origin", at, n)[row]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(column(batch, "anchor", at, n)[row]),
+                        pa.array(column(batch, "segment", at, n)[row]),
+                        pa.array((where if cores else where + cut[row]).astype(np.int32)),
+                        pa.array(h.view(np.int64)),
+                        pa.array(place.view(np.int64)),
+                        pa.array(column(batch, "n", at, n)[row] > 1),
+                    ],
+                    ["anchor", "segment", "at", "h", "place", "many"],
+                )
 
-    kind = "anchor long, segment long, at int, h long, place long, many boolean"
+    return run
 
-    def twice(rows: DataFrame) -> DataFrame:
-        met = (
-            rows.groupBy("anchor", "h")
-            .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("many").alias("m"))
-            .filter("a <> b OR m")
-            .select("anchor", "h")
-        )
-        return rows.join(met, ["anchor", "h"])
 
-    # A core is what all windows that start within the same _STEP places have in common.
-    cores = segments.mapInArrow(hashed(True), kind)
-    parts = twice(cores).select("anchor", "segment", F.col("at").alias("part"))
-    windows = segments.join(parts, ["anchor", "segment"]).mapInArrow(hashed(False), kind)
+def _by_counts(segments: DataFrame, rule: RepeatRule) -> DataFrame:
+    """The repeated starts of segments (with a ``part``), by counted hashes of windows."""
+    windows = segments.mapInArrow(_hashed(rule, cores=False), _HASHED)
+    met = (
+        windows.groupBy("anchor", "h")
+        .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("many").alias("m"))
+        .filter("a <> b OR m")
+        .select("anchor", "h")
+    )
     starts = (
-        twice(windows)
+        windows.join(met, ["anchor", "h"])
         .groupBy("anchor", "segment")
         .agg(F.array_sort(F.collect_set("at")).alias("first"))
     )
-    return starts.select("anchor", "segment", "first", F.col("first").alias("last"))
+    # The first and last of each run of neighbouring starts.
+    return starts.select(
+        "anchor",
+        "segment",
+        F.array_except("first", F.transform("first", lambda x: x + 1)).alias("first"),
+        F.array_except("first", F.transform("first", lambda x: x - 1)).alias("last"),
+    )
 
 
 def _covers(docs: DataFrame, rule: RepeatRule) -> DataFrame:
@@ -439,12 +463,47 @@ def _covers(docs: DataFrame, rule: RepeatRule) -> DataFrame:
     pieces_ = stage(
         pieces_.dropDuplicates(["anchor", "segment"]), "repeat-bytes"
     )
-    few = pieces_.filter(F.col("kinds") <= rule.group)
+    # Windows of two segments can only be equal if a core of them is.
+    cores = pieces_.mapInArrow(_hashed(rule, cores=True), _HASHED).select(
+        "anchor", "h", "segment", F.col("at").alias("part")
+    )
+    shared = (
+        cores.groupBy("anchor", "h")
+        .agg(F.min("segment").alias("a"), F.max("segment").alias("b"))
+        .filter("a <> b")
+    )
+    parts = stage(
+        cores.join(shared, ["anchor", "h"]).select("anchor", "segment", "part").distinct(),
+        "repeat-parts",
+    )
+    alike = parts.groupBy("anchor", "segment").agg(
+        F.min("part").alias("low"), F.max("part").alias("high")
+    )
+    crowd = alike.groupBy("anchor").agg(F.count("*").alias("crowd"))
+    # Of a segment only the bytes around its shared cores go on; ``cut`` lie before them.
+    shift = F.lit(rule.length - rule.anchor) - F.col("left")
+    cut_ = F.greatest(F.lit(0), F.col("low") * _STEP - shift)
+    end = F.least(
+        F.length("bytes"), (F.col("high") + 1) * _STEP - 1 - shift + rule.length
+    )
+    trimmed = pieces_.join(alike, ["anchor", "segment"]).join(crowd, "anchor").select(
+        "anchor",
+        "segment",
+        "h1",
+        (F.col("origin") + cut_).alias("origin"),
+        (F.col("left") - cut_).alias("left"),
+        "n",
+        cut_.cast("long").alias("cut"),
+        F.substring("bytes", (cut_ + 1).cast("int"), (end - cut_).cast("int")).alias("bytes"),
+        (F.col("crowd") <= rule.group).alias("sorts"),
+    )
+    alike = stage(trimmed, "repeat-alike")
+    few = alike.filter("sorts")
     total = few.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    parts = max(1, min(-(-total // rule.block_bytes), 1 << 16))
-    sorted_ = few.repartition(parts, "anchor").sortWithinPartitions("anchor", "segment")
+    tasks = max(1, min(-(-total // rule.block_bytes), 1 << 16))
+    sorted_ = few.repartition(tasks, "anchor").sortWithinPartitions("anchor", "segment")
     found = _by_blocks(sorted_, rule).unionAll(
-        _by_counts(pieces_.filter(F.col("kinds") > rule.group), rule)
+        _by_counts(alike.filter("NOT sorts").join(parts, ["anchor", "segment"]), rule)
     )
     found = stage(found.filter(F.size("first") > 0), "repeat-found")
 
