@@ -205,9 +205,14 @@ def intake_decisions(
     ids = submitted.select("candidate_id").distinct()
     status = ids.join(known, "candidate_id", "left").join(before, "candidate_id", "left")
     reason = optional_text(F.col("reason"))
-    checked = spread_left_join(submitted, status, ["candidate_id"], "seq").withColumn(
+    numbers = submitted.groupBy("seq").agg(F.count(F.lit(1)).alias("_same"))
+    numbered = submitted.join(numbers, "seq", "left")
+    checked = spread_left_join(numbered, status, ["candidate_id"], "seq").withColumn(
         "reject_reason",
-        F.when(reason.isNull(), "reason is required")
+        # Two rows with one number have no order.
+        F.when(F.col("seq").isNull(), "seq is required")
+        .when(F.col("_same") > 1, "repeated seq")
+        .when(reason.isNull(), "reason is required")
         .when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "unknown decision")
         .when(F.col("_default").isNull(), "unknown candidate")
         .when(F.col("_decided"), "already decided"),
@@ -218,10 +223,10 @@ def intake_decisions(
         checked.filter("reject_reason IS NULL")
         .groupBy("candidate_id")
         .agg(F.min("seq").alias("seq"))
-        .select("seq", F.lit(True).alias("_first"))
+        .select("candidate_id", "seq", F.lit(True).alias("_first"))
     )
     late = F.col("reject_reason").isNull() & F.col("_first").isNull()
-    return checked.join(winners, "seq", "left").select(
+    return checked.join(winners, ["candidate_id", "seq"], "left").select(
         "seq",
         "candidate_id",
         F.coalesce(optional_text(F.col("approver")), F.col("_default")).alias("approver"),

@@ -110,6 +110,32 @@ def test_intake(spark, world):
     assert (got[2].approver, got[2].reason, got[2].becomes_rule) == ("Elena Voss", "yes", True)
 
 
+def test_repeated_numbers_accept_nothing(spark, world):
+    _, _, findings = world
+    rows = [(1, "s:a:b", "confirmed", "yes"), (1, "s:a:b", "dismissed", "no"), (2, "s:a:b", "confirmed", "yes")]
+    submitted = spark.createDataFrame(
+        [(n, c, None, d, r, False) for n, c, d, r in rows],
+        "seq int, candidate_id string, approver string, decision string, reason string, becomes_rule boolean",
+    )
+    none = decisions(spark, ("s:x:y", "confirmed", "x", False))
+    got = R.intake_decisions(submitted, findings, none).collect()
+    assert sorted((r.seq, r.reject_reason or "") for r in got) == [
+        (1, "repeated seq"), (1, "repeated seq"), (2, "")
+    ]
+
+
+def test_keys_are_masked_as_words_only(spark):
+    from payrecheck.functions.names import redact_pair
+
+    row = spark.createDataFrame(
+        [("JANEDOE paid JANEDOEX-1 and JANEDOE.", ("Jane Doe", "JANEDOE"), ("Acme Inc", "ACME"))],
+        "t string, l struct<vendor_name_raw:string,vendor_canonical:string>,"
+        " r struct<vendor_name_raw:string,vendor_canonical:string>",
+    )
+    got = row.select(redact_pair(F.col("t")).alias("t")).first().t
+    assert "JANEDOEX-1" in got and "JANEDOE " not in got and not got.endswith("JANEDOE.")
+
+
 def test_packets(spark, world):
     _, _, findings = world
     decided = decisions(
