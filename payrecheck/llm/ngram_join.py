@@ -17,7 +17,8 @@ Then each posting list is compared with its hub, the member with the fewest rare
 elements before the shared one; verified links give components.  Last, every remaining
 candidate across components is verified: in a list, all members outside its largest
 component meet all members of other components.  Pairs inside a component can not
-change it, so no link between different components is missed.
+change it, so no link between different components is missed.  A parity bitmap of each set
+bounds what two sets can share, and keeps pairs that are certain to fail from meeting.
 
 Defined results: without words or text a document has no n-grams and is linked with
 nothing; fewer words than the n-gram are one element; rows that share a doc_id
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payrecheck.llm.components import components
@@ -56,8 +57,16 @@ class JoinRule:
     verify_cost: float = 0.5
 
 
-#: Nodes that may be broadcast (about 16 bytes each); more are joined by a shuffle.
-BROADCAST_NODES = 2_000_000
+#: Bits of a set's parity bitmap: each element flips one.  Sets that differ in d elements have
+#: bitmaps that differ in d bits at most, so the bitmaps bound what two sets can share.
+BITMAP_WORDS = 8
+
+#: Sets over ``LONG`` fill the bitmap; those have the sizes of ``PARTS`` parts of them, by hash,
+#: and the sum of the lesser sizes bounds what two sets can share.
+LONG, PARTS = 1000, 256
+
+#: Pairs that may be broadcast (about 24 bytes each); more meet the texts by a shuffle.
+BROADCAST_PAIRS = 1_000_000
 
 #: Distinct hashes a task holds before it reports those it met twice.
 _HELD = 1 << 22
@@ -139,8 +148,21 @@ def _prefix(
     return s[order[: base + level - 1]], level, base
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    bit = (mix(s ^ np.uint64(0x0123456789ABCDEF)) >> np.uint64(32)) % np.uint64(64 * BITMAP_WORDS)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _part_sizes(s: np.ndarray) -> np.ndarray | None:
+    if len(s) <= LONG:
+        return None
+    part = (mix(s ^ np.uint64(0xFEDCBA9876543210)) >> np.uint64(32)) % np.uint64(PARTS)
+    return np.bincount(part.astype(np.int64), minlength=PARTS).astype(np.int32)
+
+
 def signatures(docs: DataFrame, rule: JoinRule) -> DataFrame:
-    """doc_id, n (set size), a and b (a fingerprint of the set), level, base, prefix."""
+    """doc_id, n (set size), a and b (a fingerprint of the set), level, base, prefix, bits, parts."""
     ranks, counts = _ranking(docs, rule)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -158,15 +180,17 @@ def signatures(docs: DataFrame, rule: JoinRule) -> DataFrame:
                         pa.array(np.array(b, np.uint64).view(np.int64)),
                         pa.array([r[1] for r in rows], pa.int32()),
                         pa.array([r[2] for r in rows], pa.int32()),
-                        pa.array(
-                            [r[0].view(np.int64) for r in rows], pa.list_(pa.int64())
-                        ),
+                        pa.array([r[0].view(np.int64) for r in rows], pa.list_(pa.int64())),
+                        pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array([_part_sizes(s) for s in sets], pa.list_(pa.int32())),
                     ],
-                    ["doc_id", "n", "a", "b", "level", "base", "prefix"],
+                    ["doc_id", "n", "a", "b", "level", "base", "prefix", "bits", "parts"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, f"doc_id {kind}, n long, a long, b long, level int, base int, prefix array<long>"
+        sign,
+        f"doc_id {kind}, n long, a long, b long, level int, base int, "
+        "prefix array<long>, bits array<long>, parts array<int>",
     )
 
 
@@ -177,43 +201,80 @@ def _close(rule: JoinRule, a: str = "n_a", b: str = "n_b"):
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rule: JoinRule, name: str) -> DataFrame:
-    """The pairs (a, b) of class nodes whose whole sets reach the threshold, as u, v."""
-    nodes = stage(
-        pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(),
-        f"{name}-nodes",
+def _bits(classes: DataFrame, side: str, *more: str) -> DataFrame:
+    """The bitmap of each class node, one column a word, and ``more`` of its columns."""
+    words = [F.get("bits", k).alias(f"{side}{k}") for k in range(BITMAP_WORDS)]
+    named = [F.col(c).alias(f"{c}_{side}") for c in ("n", *more)]
+    return classes.select(F.col("node").alias(side), *named, *words)
+
+
+def _can_share_enough(rule: JoinRule) -> Column:
+    """What the bitmaps of ``a`` and ``b`` leave possible; false only where no link can be."""
+    differ = sum(
+        (F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(BITMAP_WORDS)),
+        F.lit(0),
     )
-    # Texts stay where they are while the nodes are few.
-    if nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = F.col("n_a") + F.col("n_b")
+    return (both - differ) * (100 + rule.percent) >= both * (2 * rule.percent)
 
-    def whole(batches):
-        for batch in batches:
-            for at, sets in _sets(batch, rule.words):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, len(sets)),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    ],
-                    ["node", "grams"],
-                )
 
-    grams = stage(
-        docs.select("doc_id", "text")
-        .join(nodes, "doc_id", "left_semi")
-        .mapInArrow(whole, f"node {kind}, grams array<long>"),
-        f"{name}-sets",
+def _promising(pairs: DataFrame, classes: DataFrame, rule: JoinRule) -> DataFrame:
+    """The pairs (a, b) whose bitmaps and part sizes leave a link possible."""
+
+    least = F.aggregate(
+        F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x
     )
-    left = grams.toDF("a", "x")
-    right = grams.toDF("b", "y")
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
+    enough = least * (100 + rule.percent) >= (F.col("n_a") + F.col("n_b")) * rule.percent
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(both * 100 >= union * rule.percent)
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
+        pairs.select("a", "b")
+        .join(_bits(classes, "a", "parts"), "a")
+        .join(_bits(classes, "b", "parts"), "b")
+        .filter(_can_share_enough(rule))
+        .filter(F.coalesce(enough, F.lit(True)))
+        .select("a", "b")
+    )
+
+
+#: Pairs whose sets are held at once while a batch is verified.
+_AT_ONCE = 256
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rule: JoinRule, name: str) -> DataFrame:
+    """The pairs (a, b) of documents whose whole sets reach the threshold, as u, v.
+
+    ``b`` should be the side that many pairs share: its text travels once, and the
+    text of ``a`` with each pair.
+    """
+    pairs = stage(pairs.select("a", "b").distinct(), f"{name}-pairs")
+    others = stage(pairs.select("b").distinct(), f"{name}-others")
+    # Texts that are in no pair stay where they are while the pairs are few.
+    few = pairs.count() <= BROADCAST_PAIRS
+    small = F.broadcast if few else (lambda df: df)
+    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(small(pairs), "a")
+    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(
+        small(others), "b", "left_semi"
+    )
+
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        return [s for _, part in pieces(texts) for s in shingle_sets(*word_hashes(part), rule.words)]
+
+    def reached(s: np.ndarray, t: np.ndarray) -> bool:
+        both = len(s) + len(t) - len(np.union1d(s, t))
+        return both * 100 >= (len(s) + len(t) - both) * rule.percent
+
+    def verify(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, _AT_ONCE):
+                batch = whole.slice(at, _AT_ONCE)
+                both = zip(sets(batch.column("x")), sets(batch.column("y")), strict=True)
+                kept = pa.array([reached(s, t) for s, t in both], pa.bool_())
+                yield batch.select(["u", "v"]).filter(kept)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return (
+        left.join(right, "b")
+        .select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y")
+        .mapInArrow(verify, f"u {kind}, v {kind}")
     )
 
 
@@ -225,7 +286,9 @@ def link_documents(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     # One class for each set, summed on the map side; its least document stands for it.
     classes = stage(
         usable.groupBy("a", "b", "n").agg(
-            F.min(F.struct("doc_id", "level", "base", "prefix")).alias("first")
+            F.min(F.struct("doc_id", "level", "base", "prefix", "bits", "parts")).alias(
+                "first"
+            )
         ).select("a", "b", "n", "first.*").withColumnRenamed("doc_id", "node"),
         "ngram-classes",
     )
@@ -239,34 +302,33 @@ def link_documents(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
         F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).alias("at"),
         "pos",
     )
-    lists = postings.groupBy("gram").agg(
-        F.count("*").alias("size"), F.min(F.struct("pos", "node", "n")).alias("hub")
-    )
-    shared = stage(
-        postings.join(lists.filter("size > 1"), "gram").select(
-            "gram", "node", "n", "level", "at", "hub.pos",
-            F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"),
-        ),
-        "ngram-postings",
-    )
+    lists = postings.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stage(postings.join(lists.select("gram"), "gram"), "ngram-postings")
+    # The hub of a list has the fewest rarer elements before the shared one.
+    hubs = shared.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
     stars = (
-        shared.filter(F.col("node") != F.col("hub"))
-        .filter(_close(rule, "n", "hub_n"))
+        shared.join(hubs, "gram")
+        .filter(F.col("node") != F.col("hub.node"))
         .select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "level"
+            F.col("node").alias("a"),
+            F.col("hub.node").alias("b"),
+            "level",
+            F.col("n").alias("n_a"),
+            F.col("hub.n").alias("n_b"),
         )
+        .filter(_close(rule))
         .groupBy("a", "b")
         .agg(F.count("*").alias("met"), F.max("level").alias("level"))
         # Which hub pairs are worth a look; the others come again below.
         .filter("met >= level")
         .select("a", "b")
     )
-    stars = stage(stars, "ngram-stars")
+    stars = stage(_promising(stars, classes, rule), "ngram-stars")
     found = stage(_verified(stars, docs, rule, "ngram-star"), "ngram-star-links")
     groups = components(found, "ngram-star-groups")
 
     placed = shared.join(groups, shared["node"] == groups["node"], "left").select(
-        "gram", shared["node"], "n", "level", "at",
+        "gram", shared["node"], "level", "at",
         F.coalesce("component", shared["node"]).alias("group"),
     )
     parts = placed.groupBy("gram", "group").agg(F.count("*").alias("size"))
@@ -275,18 +337,23 @@ def link_documents(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     ).filter("parts > 1")
     mixed = stage(
         placed.join(largest, "gram").select(
-            "gram", "node", "n", "level", "at", "group",
+            "gram", "node", "level", "at", "group",
             (F.col("group") == F.col("top.group")).alias("major"),
         ),
         "ngram-mixed",
     )
-    x = mixed.filter("NOT major").toDF("gram", "a", "n_a", "l_a", "at_a", "g_a", "m_a")
-    y = mixed.toDF("gram", "b", "n_b", "l_b", "at_b", "g_b", "m_b")
+    few = "gram", "level", "at", "group", "major"
+    x = mixed.filter("NOT major").select("node", *few).toDF("a", "gram", "l_a", "at_a", "g_a", "m_a")
+    y = mixed.select("node", *few).toDF("b", "gram", "l_b", "at_b", "g_b", "m_b")
+    # The bitmaps are part of the join's condition: pairs that can not link never leave it.
     rest = (
-        x.join(y, "gram")
+        x.join(_bits(classes, "a"), "a")
+        .join(y.join(_bits(classes, "b"), "b"), "gram")
         .filter((F.col("g_a") != F.col("g_b")) & (F.col("m_b") | (F.col("a") < F.col("b"))))
         .filter(_close(rule))
+        .filter(_can_share_enough(rule))
         .filter(F.greatest("at_a", "at_b") <= F.least("l_a", "l_b"))
+        # Either may be the minor one, by list; their matches count together.
         .select(
             F.least("a", "b").alias("a"),
             F.greatest("a", "b").alias("b"),
@@ -297,7 +364,8 @@ def link_documents(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
         .filter("met >= need")
         .select("a", "b")
     )
-    rest = stage(rest.join(stars, ["a", "b"], "left_anti"), "ngram-rest")
+    tried = stars.unionAll(stars.select("b", "a"))
+    rest = _promising(rest.join(tried, ["a", "b"], "left_anti"), classes, rule)
     more = stage(_verified(rest, docs, rule, "ngram-rest"), "ngram-rest-links")
     linked = components(found.unionAll(more), "ngram-groups")
 
