@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from payrecheck.session import stage
 
 
+#: Buckets whose offsets may be broadcast; more meet their records by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
+
+
 @dataclass(frozen=True)
 class ShardRule:
     shards: int = 16
@@ -40,7 +44,9 @@ def _bucket_count(docs: DataFrame, rule: ShardRule) -> int:
     texts = [c for c, t in docs.dtypes if t == "string"]
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(64))
     total = docs.agg(F.sum(size)).first()[0] or 0
-    return max(1, -(-total // rule.bucket_bytes))
+    # Small inputs take several buckets a core, so that all cores are used.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // rule.bucket_bytes), min(8 * cores, total // 4096))
 
 
 def shuffle_records(docs: DataFrame, rule: ShardRule = ShardRule()) -> DataFrame:
@@ -76,6 +82,9 @@ def shuffle_records(docs: DataFrame, rule: ShardRule = ShardRule()) -> DataFrame
         .withColumn("_offset", F.coalesce(F.sum("_n").over(sums), F.lit(0)))
         .drop("_n")
     )
+    # 16 bytes a bucket; the number of buckets is known here.
+    if buckets <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     place = F.col("_offset") + F.col("_at")
     return (
         written.join(offsets, "_bucket")
