@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payrecheck.llm.lines import has_word
+from payrecheck.operators.once import compute_once
 from payrecheck.session import stage
 
 UNKNOWN = "unknown"
@@ -216,7 +217,9 @@ def train(
             F.array_position(_literal(families), F.col("family")).cast("double").alias("label") - 1,
             F.array_intersect("grams", _literal(grams)).alias("grams"),
             (F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(5)) == 0).alias("kept"),
-        ).toDF("label", "grams", "kept"),
+        )
+        .toDF("label", "grams", "kept")
+        .coalesce(4),
         "licence-examples",
     )
     vectors = CountVectorizerModel.from_vocabulary(
@@ -226,7 +229,7 @@ def train(
         family="multinomial",
         regParam=rule.regularisation,
         elasticNetParam=rule.elastic,
-        maxIter=100,
+        maxIter=50,
         standardization=False,
     ).fit(vectors.filter("NOT kept"))
 
@@ -304,25 +307,35 @@ def scan_licences(
             a, F.get(weights, (F.array_position(vocabulary, g) - 1).cast("int")), lambda x, y: x + y
         ),
     )
-    predicted = F.array_position("p", F.array_max("p")).cast("int")
+    known = paragraphs(docs).withColumn("grams", _grams(_words(F.col("text"))))
+    # Each step is evaluated once, and only where the one before it leaves something.
+    met = compute_once(known, {"met": F.array_intersect("grams", vocabulary)})
+    # Without any of these the scores are the bias alone, which is for unknown.
+    scored = compute_once(met.filter(F.size("met") > 0), {"z": z})
+    best = F.array_position("z", F.array_max("z")).cast("int") - 1
+    named = compute_once(
+        scored.drop("met"), {"family": F.get(_literal(model.families), best)}
+    ).filter(F.col("family") != UNKNOWN)
     # A notice is compared with the templates of the family it was given.
     similarity = F.lit(None).cast("double")
     for family in model.families[:-1]:
         own = [r.grams for r in rows if r.family == family]
-        similarity = F.when(F.col("family") == family, _likeness(F.col("grams"), own)).otherwise(similarity)
+        similarity = F.when(F.col("family") == family, _likeness(F.col("grams"), own)).otherwise(
+            similarity
+        )
+    probability = F.array_max(_softmax("z", "t"))
     return (
-        paragraphs(docs)
-        .withColumn("grams", _grams(_words(F.col("text"))))
-        .withColumn("met", F.array_intersect("grams", vocabulary))
-        # Without any of these the scores are the bias alone, which is for unknown.
-        .filter(F.size("met") > 0)
-        .withColumn("z", z)
-        .withColumn("t", F.lit(model.temperature))
-        .withColumn("p", _softmax("z", "t"))
-        .withColumn("family", F.get(_literal(model.families), predicted - 1))
-        .withColumn("probability", F.array_max("p"))
-        .filter((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
-        .withColumn("similarity", similarity)
+        compute_once(
+            named.withColumn("t", F.lit(model.temperature)),
+            {"probability": probability, "similarity": similarity},
+        )
+        .filter(F.col("probability") >= model.threshold)
         .filter(F.col("similarity") >= rule.similarity)
-        .select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity")
+        .select(
+            "doc_id",
+            F.col("paragraph").cast("long").alias("paragraph"),
+            "family",
+            "probability",
+            "similarity",
+        )
     )
