@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash windows.
 
 Every window of a document that is as long as a benchmark item gets a SimHash
-of its words.  Items are indexed by four 16-bit blocks of theirs, each with
+of its words; a document that is shorter than the item is one window as a whole.
+Items are indexed by four 16-bit blocks of theirs, each with
 all values up to two bits away: two fingerprints within the radius of 11 differ in at most
 two bits of some block, so the index misses none of them.  Candidates are
 verified by the exact weighted Jaccard similarity of their word 5-grams, each
@@ -138,9 +139,9 @@ class _Items:
             if int(prints[w] ^ self.prints[i]).bit_count() <= RADIUS:
                 yield w, i
 
-    def find(self, words: np.ndarray) -> dict[int, tuple[float, int]]:
-        """Item: (similarity, first word) of its best and then first window."""
-        best: dict[int, tuple[float, int]] = {}
+    def find(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """Item: (similarity, first word, words) of its best and then first window."""
+        best: dict[int, tuple[float, int, int]] = {}
         sums = None
         for size, lengths in self.by_size.items():
             grams = _grams(words, size)
@@ -150,26 +151,28 @@ class _Items:
             if not met[-1]:
                 continue
             for n in lengths:
-                m = n - size + 1
-                if n > len(words) or met[-1] < m * self._least():
+                held = min(n, len(words))
+                m = held - size + 1
+                least = self._least(m, n - size + 1)
+                if met[-1] < least:
                     continue
-                starts = np.flatnonzero(met[m:] - met[:-m] >= m * self._least())
+                starts = np.flatnonzero(met[m:] - met[:-m] >= least)
                 if not len(starts):
                     continue
                 if sums is None:
                     sums = _running_bits(words)
-                for w, i in self.candidates(_fingerprints(sums, starts, n)):
+                for w, i in self.candidates(_fingerprints(sums, starts, held)):
                     if self.lengths[i] != n:
                         continue
                     p = int(starts[w])
                     like = self._similarity(grams[p : p + m], i)
                     if like >= self.rule.similarity and (i not in best or like > best[i][0]):
-                        best[i] = (like, p)
+                        best[i] = (like, p, held)
         return best
 
-    def _least(self) -> float:
-        """The share of a window's n-grams that an equally long item must have."""
-        return 2 * self.rule.similarity / (1 + self.rule.similarity) - 1e-9
+    def _least(self, own, item: int):
+        """How many n-grams a window of ``own`` and an item of ``item`` of them must share."""
+        return (own + item) * (self.rule.similarity / (1 + self.rule.similarity) - 5e-10)
 
     def _similarity(self, grams: np.ndarray, item: int) -> float:
         own, other = Counter(grams.tolist()), self.grams[item]
@@ -187,8 +190,11 @@ class _Items:
             # A row's n-grams, the last of which do not reach into the next row.
             first = np.minimum(rows[:-1], len(grams))
             last = np.maximum(first, np.minimum(rows[1:] - size + 1, len(grams)))
-            least = (min(lengths) - size + 1) * self._least()
-            out.update(np.flatnonzero(met[last] - met[first] >= least).tolist())
+            # The shortest item asks for the fewest, of a row that is shorter too.
+            shortest = min(lengths) - size + 1
+            own = np.minimum(last - first, shortest)
+            enough = met[last] - met[first] >= self._least(own, shortest)
+            out.update(np.flatnonzero(enough & (own > 0)).tolist())
         return sorted(out)
 
 
@@ -221,7 +227,10 @@ def _scan(
 
 
 def find_items(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words of every item within a document."""
+    """doc_id, item_id, similarity, first_word, n_words of every item within a document.
+
+    ``n_words`` are those of the window: the item's, or all of a shorter document.
+    """
     items = items.select("item_id", "text")
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
@@ -232,9 +241,9 @@ def find_items(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -
         def told(batches, scan=scan):
             for batch in batches:
                 met = [
-                    (k, known.ids[i], s, p, int(known.lengths[i]))
+                    (k, known.ids[i], s, p, n)
                     for k, found, known in scan(batch, "text")
-                    for i, (s, p) in sorted(found.items())
+                    for i, (s, p, n) in sorted(found.items())
                 ]
                 if met:
                     at, *columns = zip(*met, strict=True)

@@ -85,3 +85,33 @@ def test_extra_columns_repeats_and_no_rows(spark):
     none = spark.createDataFrame([], kind)
     assert find_items(none, i).collect() == [] and drop_contaminated(none, i).collect() == []
     assert drop_contaminated(d, i.limit(0)).count() == 4
+
+
+def whole(text, item, k=5):
+    """As ``brute``, with a document shorter than the item as its one window."""
+    n, m = len((text or "").split()), len((item or "").split())
+    if n >= m:
+        return brute(text, item, k)
+    cut = lambda t: Counter(tuple(w[i : i + k]) for w in [t.lower().split()] for i in range(len(w) - k + 1))
+    a, b = cut(text or ""), cut(item)
+    like = (a & b).total() / max((a | b).total(), 1)
+    return (like, 0) if like >= 0.8 else None
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(5)
+    words = lambda n: [rng.choice("bcdfgh") + rng.choice("aeiou") + rng.choice("lmnr") for _ in range(n)]
+    texts = [words(n) for n in (4, 5, 15, 30, 38, 60, 61)]
+    items = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    docs = [(0, None), (1, "")]
+    for w in texts:
+        for n in (1, 2, 5, 12, 14):
+            docs += [(len(docs) + k, " ".join(v)) for k, v in enumerate((w[n:], w[:-n], w[: len(w) // 2] + w[len(w) // 2 + n :]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    want = {(a, b): (*best, min(len(t.split()), len(v.split()))) for a, t in docs for b, v in items if (best := whole(t, v))}
+    assert len(want) > 15
+    got = find_items(d, i).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in got} == want
+    kept = {r.doc_id for r in drop_contaminated(d, i).collect()}
+    assert kept == {a for a, _ in docs} - {a for a, _ in want}
