@@ -4,7 +4,10 @@ Every window of a document that is as long as a benchmark item gets a SimHash
 of its words; a document that is shorter than the item is one window as a whole.
 Items are indexed by four 16-bit blocks of theirs, each with
 all values up to two bits away: two fingerprints within the radius of 11 differ in at most
-two bits of some block, so the index misses none of them.  Candidates are
+two bits of some block, so the index misses none of them.  Windows can reach the
+similarity beyond that radius (with other words at an end), so those that hold
+enough of an item's n-grams are candidates too; they are found by the item's rarest
+n-grams, of which such a window must have one, and none is missed.  Candidates are
 verified by the exact weighted Jaccard similarity of their word 5-grams, each
 weighted by how often it occurs.
 
@@ -25,6 +28,7 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +110,8 @@ class _Items:
             seen = np.zeros(1 << _SEEN_BITS, bool)
             seen[known >> np.uint64(64 - _SEEN_BITS)] = True
             self.vocabulary[size] = known, seen
+        self.own = [np.array(sorted(g), np.uint64) for g in self.grams]
+        self.rare = {size: self._rarest(size) for size in self.by_size}
         self.index = []
         for b in range(BLOCKS):
             key = self._block(self.prints, b)[:, None] ^ _MASKS[None, :]
@@ -114,6 +120,29 @@ class _Items:
             first = np.searchsorted(key.ravel()[order], np.arange((1 << BLOCK_BITS) + 1))
             self.index.append((first, owner[order]))
 
+    def _rarest(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n-grams, the first owner of each, and the items that own them.
+
+        The n-grams of an item beside those here are too few to reach the similarity.
+        """
+        items = [i for i, n in enumerate(self.lengths) if min(self.rule.words, n) == size]
+        spread = Counter(g for i in items for g in self.grams[i])
+        keys, owner = [], []
+        for i in items:
+            left = self.grams[i].total()
+            # No window with less than this share of the item's n-grams reaches it.
+            least = left * (self.rule.similarity - 1e-9)
+            for g in sorted(self.grams[i], key=lambda g: (spread[g], g)):
+                if left < least:
+                    break
+                keys.append(g)
+                owner.append(i)
+                left -= self.grams[i][g]
+        keys, owner = np.array(keys, np.uint64), np.array(owner, np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        return keys, np.append(first, len(owner)), owner[order]
+
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
         shifted = prints >> np.uint64(b * BLOCK_BITS)
@@ -139,6 +168,30 @@ class _Items:
             if int(prints[w] ^ self.prints[i]).bit_count() <= RADIUS:
                 yield w, i
 
+    def sharing(
+        self, grams: np.ndarray, at: np.ndarray, size: int
+    ) -> Iterator[tuple[int, int]]:
+        """(item, first word) of the windows with enough of the item's n-grams.
+
+        ``at``: where ``grams`` has an n-gram of any item.
+        """
+        keys, first, owner = self.rare[size]
+        seen = grams[at]
+        place = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
+        met = np.unique(place[keys[place] == seen])
+        for i in sorted({i for k in met for i in owner[first[k] : first[k + 1]].tolist()}):
+            item = int(self.lengths[i]) - size + 1
+            own = min(item, len(grams))
+            least = max(ceil(self._least(own, item)), 1)
+            hits = at[np.isin(seen, self.own[i])]
+            if len(hits) < least:
+                continue
+            mine = np.zeros(len(grams) + 1, np.int64)
+            mine[hits + 1] = 1
+            mine = np.cumsum(mine)
+            for p in np.flatnonzero(mine[own:] - mine[: len(mine) - own] >= least).tolist():
+                yield i, p
+
     def find(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Item: (similarity, first word, words) of its best and then first window."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -147,9 +200,11 @@ class _Items:
             grams = _grams(words, size)
             if not len(grams):
                 continue
-            met = np.concatenate(([0], np.cumsum(self.known(grams, size))))
+            known = self.known(grams, size)
+            met = np.concatenate(([0], np.cumsum(known)))
             if not met[-1]:
                 continue
+            pairs = set(self.sharing(grams, np.flatnonzero(known), size))
             for n in lengths:
                 held = min(n, len(words))
                 m = held - size + 1
@@ -161,13 +216,16 @@ class _Items:
                     continue
                 if sums is None:
                     sums = _running_bits(words)
-                for w, i in self.candidates(_fingerprints(sums, starts, held)):
-                    if self.lengths[i] != n:
-                        continue
-                    p = int(starts[w])
-                    like = self._similarity(grams[p : p + m], i)
-                    if like >= self.rule.similarity and (i not in best or like > best[i][0]):
-                        best[i] = (like, p, held)
+                pairs.update(
+                    (i, int(starts[w]))
+                    for w, i in self.candidates(_fingerprints(sums, starts, held))
+                    if self.lengths[i] == n
+                )
+            for i, p in sorted(pairs):
+                held = min(int(self.lengths[i]), len(words))
+                like = self._similarity(grams[p : p + held - size + 1], i)
+                if like >= self.rule.similarity and (i not in best or like > best[i][0]):
+                    best[i] = (like, p, held)
         return best
 
     def _least(self, own, item: int):

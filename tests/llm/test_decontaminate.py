@@ -115,3 +115,29 @@ def test_documents_shorter_than_an_item(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in got} == want
     kept = {r.doc_id for r in drop_contaminated(d, i).collect()}
     assert kept == {a for a, _ in docs} - {a for a, _ in want}
+
+
+def test_changed_ends_within_the_similarity(spark):
+    """Passages whose end words are others, which moves SimHash further than words within."""
+    rng = random.Random(7)
+    words = lambda n: [rng.choice("bcdfgh") + rng.choice("aeiou") + rng.choice("lmnr") for _ in range(n)]
+    texts = [words(n) for n in (1, 3, 9, 9, 15, 15, 24, 30, 40, 40, 50, 60, 60, 90, 200)] + [["again"] * 30]
+    items = [(k, " ".join(w)) for k, w in enumerate(texts)] + [(99, " ".join(texts[9]))]
+    docs = []
+    for w in texts:
+        changed = [w[n:] for n in range(1, 3)] + [w[:-n] for n in range(1, 3)]
+        most = len(w) // 9
+        for n in range(1, most + 1):
+            changed += [words(n) + w[n:], w[:-n] + words(n), words(n // 2) + w[n // 2 : len(w) - n + n // 2] + words(n - n // 2)]
+        for v in changed:
+            docs.append((len(docs), " ".join(v)))
+            docs.append((len(docs), " ".join(words(20) + v + words(30))))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    want = {(a, b): best for a, t in docs for b, v in items if (best := whole(t, v))}
+    assert len(want) > 100
+    for rule in (LeakRule(), LeakRule(block_items=4)):
+        got = find_items(d, i, rule).collect()
+        assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == want
+    kept = {r.doc_id for r in drop_contaminated(d, i).collect()}
+    assert kept == {a for a, _ in docs} - {a for a, _ in want}
