@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from payrecheck.session import stage
 
 
+#: Far more than star contraction takes; an unfinished result is never returned.
+ROUNDS = 99
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Point the larger (or, small star, the smaller) neighbours at the least node near."""
     both = links.select("u", "v")
@@ -30,10 +34,13 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """node, component (the least node it reaches) of all nodes of ``links`` (u, v)."""
+    """node, component (the least node it reaches) of all nodes of ``links`` (u, v).
+
+    Raises if the state has not repeated after ``ROUNDS`` rounds.
+    """
     now = stage(links.filter("u <> v").select("u", "v").distinct(), f"{name}-0")
     state = None
-    for k in range(1, 100):
+    for k in range(1, ROUNDS + 1):
         after = stage(_star(_star(now, True), False), f"{name}-{k}")
         seen = after.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
@@ -41,4 +48,6 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         if seen == state:
             break
         now, state = after, seen
+    else:
+        raise RuntimeError(f"components of {name} are not complete after {ROUNDS} rounds")
     return after.select(F.col("u").alias("node"), F.col("v").alias("component"))

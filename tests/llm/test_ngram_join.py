@@ -98,3 +98,14 @@ def test_components_of_chains_and_rings(spark):
     assert {(r.node, r.component) for r in got} == {(k, 0) for k in range(1, 41)} | {
         (k, 50) for k in range(51, 59)
     }
+
+
+def test_unfinished_components_are_an_error(spark, monkeypatch):
+    from payrecheck.llm import components as C
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    whole = {(r.node, r.component) for r in C.components(chain).collect()}
+    assert whole == {(k, 0) for k in range(1, 41)}
+    monkeypatch.setattr(C, "ROUNDS", 1, raising=False)
+    with pytest.raises(RuntimeError, match="not complete"):
+        C.components(chain)
