@@ -416,6 +416,22 @@ def blocking_work(spark, d):
     return B.blocking_stats(L.payments_of(spark, d), cap=CAP)
 
 
+@registered(
+    q.query(
+        *_TX,
+        q.capped_buckets(10**9),
+        select="""
+SELECT (SELECT count(*) FROM tx) AS rows_in, CAST(max(n) AS BIGINT) AS max_bucket,
+  CAST(sum(n * (n - 1) / 2 * (CASE WHEN family IN ('via', 'vi') THEN 2 ELSE 1 END)) AS BIGINT)
+    AS pair_comparisons
+FROM (SELECT family, key, count(*) AS n FROM keyed GROUP BY ALL)""",
+    )
+)
+def blocking_work_whole(spark, d):
+    """What the default, complete comparison compares."""
+    return B.blocking_stats(L.payments_of(spark, d))
+
+
 @registered(
     q.query(
         *_TX,
@@ -458,6 +474,36 @@ def blocking_hot_key(spark, d):
     return B.block(staged_payments(lines)).select(*CAND.split(", "))
 
 
+_THIRD = "CAST(substr(transaction_id, 4) AS BIGINT) % 3 = 0"
+_THIRD_LEDGER = _HOT_LEDGER.replace(_HOT, _THIRD)
+
+
+@registered(
+    q.query(
+        _THIRD_LEDGER,
+        q.payments(),
+        q.capped_buckets(10**9),
+        select="""
+SELECT transaction_id, count(*) AS keys, CAST(max(n_key) AS BIGINT) AS largest
+FROM sized WHERE n_key > 1 GROUP BY transaction_id""",
+    )
+)
+def blocking_hot_third(spark, d):
+    """Keys that payments share when a third of them share one, in linear size."""
+    hot = F.substring("transaction_id", 4, 9).cast("bigint") % 3 == 0
+    lines = L.lines_of(spark, d)
+    lines = lines.withColumn(
+        "vendor_name_raw", F.when(hot, "Hot Vendor Inc.").otherwise(F.col("vendor_name_raw"))
+    ).withColumn("invoice_number_raw", F.when(hot, "INV-77").otherwise(F.col("invoice_number_raw")))
+    groups = B.key_groups(staged_payments(lines))
+    sizes = groups.groupBy("family", "key").agg(F.count("*").alias("n"))
+    return (
+        groups.join(sizes, ["family", "key"])
+        .groupBy("transaction_id")
+        .agg(F.count("*").alias("keys"), F.max("n").alias("largest"))
+    )
+
+
 @registered(q.query(*_CANDS, select="SELECT signal, count(*) AS candidates FROM cand GROUP BY signal"))
 def candidates_by_signal(spark, d):
     return B.candidates_by_signal(B.block(L.payments_of(spark, d)))

@@ -33,3 +33,9 @@ def test_query_matches_sql(spark, name):
 @needs_data
 def test_entry(spark):
     assert contract.entry(spark).columns[0] == "candidate_id"
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["blocking_work_whole", "blocking_hot_third"])
+def test_complete_comparison_matches_sql(spark, name):
+    assert differences(spark, oracle(FOLDER), name, FOLDER) == ""
