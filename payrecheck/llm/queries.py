@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from payrecheck.llm import (
     boilerplate,
+    bpe,
     decontaminate,
     langid,
     licences,
@@ -224,3 +225,16 @@ def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every paragraph that is a licence notice, with its family."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return licences.scan_licences(docs, licences.train(docs))
+
+
+@registered()
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Word BPE ids of every whole text, and their text, as number and hashes."""
+    vocabulary = bpe.load_vocabulary()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.decode(bpe.encode(docs, vocabulary).drop("text"), vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
