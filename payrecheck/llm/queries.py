@@ -13,6 +13,7 @@ from payrecheck.llm import (
     decontaminate,
     langid,
     licences,
+    merkle,
     ngram_join,
     pieces,
     pseudonyms,
@@ -238,3 +239,96 @@ def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _merkle_sql(levels: int = 6, top_levels: int = 4) -> str:
+    """The manifest of op12 in SQL, for up to 16**levels rows of a source."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+
+    def leaf(text: str) -> str:
+        values = [*(f"CAST({c} AS VARCHAR)" for c in fields[:-1]), text]
+        parts = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values]
+        return f"sha256({' || '.join(parts)})"
+
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    low = f"translate(text, '{capitals}', '{capitals.lower()}')"
+    steps = [
+        # CRC-32 of the digits: a byte is mixed in, then eight shifts.
+        f"""crcs AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''),
+    c -> [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    (a, b) -> CASE WHEN b >= 0 THEN xor(a, b)
+                   WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS crc
+  FROM documents)""",
+        f"""d AS (
+  SELECT doc_id, {leaf("text")} AS leaf,
+         CASE WHEN crc % 5 = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS claim,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {leaf("text")}) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM crcs)""",
+        "l0 AS (SELECT tree, pos, n, leaf AS h FROM d)",
+    ]
+
+    def grow(name: str, count: int) -> None:
+        for k in range(count):
+            steps.append(
+                f"""{name}{k + 1} AS (
+  SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h
+  FROM {name}{k} WHERE n > 1 GROUP BY 1, pos // 16, n)"""
+            )
+            steps.append(
+                f"""{name}s{k} AS (
+  SELECT a.tree, a.pos,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS bef,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS aft
+  FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.pos // 16 = b.pos // 16
+  WHERE a.n > 1 GROUP BY 1, 2)"""
+            )
+
+    def ends(name: str, count: int) -> str:
+        return " UNION ALL ".join(
+            f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(count + 1)
+        )
+
+    grow("l", levels)
+    steps.append(f"subs AS ({ends('l', levels)})")
+    steps.append("t0 AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM subs)")
+    grow("t", top_levels)
+    steps.append(f"roots AS ({ends('t', top_levels)})")
+    steps.append("f0 AS (SELECT *, '' AS proof, claim AS folded FROM d)")
+    joins = [("l", k, "f.tree", "f.pos") for k in range(levels)]
+    joins += [("t", k, "0", "f.tree") for k in range(top_levels)]
+    for at, (name, k, tree, pos) in enumerate(joins):
+        steps.append(
+            f"""f{at + 1} AS (
+  SELECT f.* REPLACE (f.proof || coalesce(s.bef || s.aft, '') AS proof,
+    CASE WHEN s.pos IS NULL THEN f.folded ELSE sha256(s.bef || f.folded || s.aft) END AS folded)
+  FROM f{at} f LEFT JOIN {name}s{k} s ON s.tree = {tree} AND s.pos = {pos} // {16**k})"""
+        )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT f.doc_id, f.leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256,
+       f.folded AS folded_root, f.folded = r.h AS verified
+FROM f{len(joins)} f JOIN subs s ON s.tree = f.tree CROSS JOIN roots r
+"""
+    )
+
+
+@registered(_merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, subroot, root and checked proof of every document."""
+    manifest = merkle.document_manifest(table(spark, folder, "documents"))
+    proved = merkle.prove(manifest, "claim", ["key"])
+    return proved.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        "proof_sha256",
+        "folded_root",
+        "verified",
+    )
