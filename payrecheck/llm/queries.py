@@ -257,8 +257,8 @@ def _merkle_sql(levels: int = 6, top_levels: int = 4) -> str:
         f"""crcs AS (
   SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
     string_split(CAST(doc_id AS VARCHAR), ''),
-    c -> [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-    (a, b) -> CASE WHEN b >= 0 THEN xor(a, b)
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b)
                    WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS crc
   FROM documents)""",
         f"""d AS (
