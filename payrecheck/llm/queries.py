@@ -20,6 +20,7 @@ from payrecheck.llm import (
     quality,
     sharding,
     suffix_dedup,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,3 +333,27 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         "folded_root",
         "verified",
     )
+
+
+@registered()
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The whitened components of every usable embedding, up to 32."""
+    x = whitening.usable(table(spark, folder, "embeddings"), "embedding", ["vec_id"])
+    model = whitening.fit(x, 32)
+    if model is None:
+        nothing = "vec_id long, component int, n long, deviation long, whitened double"
+        return spark.createDataFrame([], f"{nothing}, explained double, identity_error double")
+    error = whitening.identity_error(x, model)
+    rows = whitening.whiten(x, model, ["vec_id"])
+    explained = F.array(*[F.lit(v) for v in model.explained])
+    return rows.select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")
+    ).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
