@@ -7,8 +7,8 @@ is stale and skipped.  Decoding concatenates the vocabulary's strings, with a bl
 two, as the file names no decoder.  Special tokens are recognised in the raw text first,
 as the file says.
 
-Each task reads its rows once and needs no shuffle.  Words that were merged are kept in a
-table of at most ``CACHE_WORDS`` a worker, so frequent ones are merged once; a word of
+Each task reads its rows once and needs no shuffle.  Words that were merged are kept in
+two tables of at most ``CACHE_WORDS`` each a worker, so frequent ones are merged once; a word of
 any length is merged in n log n.
 
 Defined results: a null or empty text has an empty array, and null or empty ids an
@@ -19,12 +19,13 @@ through, and one that has the output's name is replaced, as by ``withColumn``.
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -37,6 +38,7 @@ CACHE_CHARS = 40
 #: Ids or characters after which a worker hands on what it has.
 FLUSH = 1 << 22
 _END = "</w>"
+_PLAIN = 0x230
 
 
 @dataclass(frozen=True)
@@ -69,6 +71,27 @@ def _byte_characters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+class _Kept(dict):
+    """Words and their ids, as bytes; a missing word is merged.
+
+    Two generations: when the young one is full it becomes the old one, from which words that
+    are met again come back, so frequent words stay.
+    """
+
+    def __init__(self, merge) -> None:
+        super().__init__()
+        self.merge, self.old = merge, {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word) or self.merge(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Coder:
     """The tables of a vocabulary, ready to encode and decode."""
 
@@ -76,81 +99,88 @@ class Coder:
         from tokenizers import Tokenizer
 
         content = json.loads(source)
-        self.ids: dict[str, int] = content["model"]["vocab"]
-        self.merges = {
-            (self.ids[a], self.ids[b]): (rank, self.ids[a + b])
-            for rank, (a, b) in enumerate(content["model"]["merges"])
-        }
-        self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
-        longest_first = sorted(self.special, key=len, reverse=True)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")")
-        known = self.ids | self.special
+        ids: dict[str, int] = content["model"]["vocab"]
+        merges = content["model"]["merges"]
+        #: The rank of two neighbours, and the id that each rank makes.
+        self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [ids[a + b] for a, b in merges]
+        special = {t["content"]: t["id"] for t in content["added_tokens"]}
+        self.special = {t: array("i", [k]).tobytes() for t, k in special.items()}
+        longest_first = sorted(special, key=len, reverse=True)
+        self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
+        known = ids | special
         self.texts = [""] * (max(known.values()) + 1)
         for word, k in known.items():
             self.texts[k] = word
         self.known = set(known.values())
-        # Up to here normal form, lower case and classes are the same in every Unicode
+        characters = _byte_characters()
+        self.inner = [ids[c] for c in characters]
+        self.last = [ids[c + _END] for c in characters]
+        self.byte_of = {c: b for b, c in enumerate(characters)}
+        # Below this normal form, lower case (also its result) and classes are as in every Unicode
         # version, so words are cut in one pass; other texts take the library's rules.
-        self.plain = regex.compile(r"[\x00-˿]*+")
+        self.plain = re.compile(f"[\0-{chr(_PLAIN - 1)}]*")
         rules = content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(rules)
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            members = [chr(c) for c in range(_PLAIN) if regex.match(name, chr(c))]
+            rules = rules.replace(name, "".join(map(re.escape, members)))
+        self.words = re.compile(rules)
         cutter = Tokenizer.from_str(source)
         self.normal, self.cut = cutter.normalizer, cutter.pre_tokenizer
-        self.as_text = _byte_characters()
-        self.kept: dict[str, array] = {}
-
-    def merge(self, word: str) -> array:
-        """The ids of one word, given in characters that stand for bytes."""
-        symbols = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + _END]]
-        n, merges = len(symbols), self.merges
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        queue = []
-        for at in range(n - 1):
-            if found := merges.get((symbols[at], symbols[at + 1])):
-                queue.append((found[0], at, found[1]))
-        heapq.heapify(queue)
+        self.kept = _Kept(lambda word: self.merge(word.encode()))
+
+    def merge(self, word: bytes) -> bytes:
+        """The ids of one word, as bytes of 32-bit integers."""
+        inner, rank_of, made = self.inner, self.ranks.get, self.made
+        symbols = [inner[c] for c in word]
+        symbols[-1] = self.last[word[-1]]
+        n = len(symbols)
+        if n == 1:
+            return array("i", symbols).tobytes()
+        # An entry is its rank and its place in one number.
+        queue = [
+            rank << 32 | at
+            for at in range(n - 1)
+            if (rank := rank_of(symbols[at] << 32 | symbols[at + 1])) is not None
+        ]
+        if not queue:
+            return array("i", symbols).tobytes()
+        heapify(queue)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         while queue:
-            _, at, merged = heapq.heappop(queue)
+            entry = heappop(queue)
+            at = entry & 0xFFFFFFFF
             right = after[at]
             # Stale: one of the two symbols was taken by another merge.
-            if symbols[at] < 0 or right < 0:
+            if right < 0 or symbols[at] < 0:
                 continue
-            found = merges.get((symbols[at], symbols[right]))
-            if not found or found[1] != merged:
+            if rank_of(symbols[at] << 32 | symbols[right]) != entry >> 32:
                 continue
-            symbols[at], symbols[right] = merged, -1
+            symbols[at] = merged = made[entry >> 32]
+            symbols[right] = -1
             after[at] = beyond = after[right]
             if beyond >= 0:
                 before[beyond] = at
-                if found := merges.get((merged, symbols[beyond])):
-                    heapq.heappush(queue, (found[0], at, found[1]))
+                if (rank := rank_of(merged << 32 | symbols[beyond])) is not None:
+                    heappush(queue, rank << 32 | at)
             left = before[at]
-            if left >= 0 and (found := merges.get((symbols[left], merged))):
-                heapq.heappush(queue, (found[0], left, found[1]))
-        return array("i", [s for s in symbols if s >= 0])
-
-    def word(self, word: str) -> array:
-        shown = "".join([self.as_text[b] for b in word.encode()])
-        out = self.merge(shown)
-        if len(word) <= CACHE_CHARS:
-            if len(self.kept) >= CACHE_WORDS:
-                self.kept.clear()
-            self.kept[word] = out
-        return out
+            if left >= 0 and (rank := rank_of(symbols[left] << 32 | merged)) is not None:
+                heappush(queue, rank << 32 | left)
+        return array("i", [s for s in symbols if s >= 0]).tobytes()
 
-    def encode(self, text: str) -> array:
-        out = array("i")
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text, as bytes of 32-bit integers."""
+        out = []
         for part in self.specials.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif self.plain.fullmatch(part):
-                kept = self.kept
-                for word in self.words.findall(part.lower()):
-                    out.extend(kept.get(word) or self.word(word))
+                words = self.words.findall(part.lower())
+                out.append(b"".join(map(self.kept.__getitem__, words)))
             else:
                 for word, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part)):
-                    out.extend(self.merge(word))
-        return out
+                    out.append(self.merge(bytes([self.byte_of[c] for c in word])))
+        return b"".join(out)
 
     def decode(self, ids: list[int | None]) -> str:
         texts, known = self.texts, self.known
@@ -196,23 +226,22 @@ def encode(
 
     def work(column: pa.Array) -> Iterator[pa.Array]:
         code = coder(source)
-        flat, ends = array("i"), array("i", [0])
+        parts, ends = [], [0]
         for value in column:
-            flat.extend(code.encode(value.as_py() or ""))
-            ends.append(len(flat))
-            if len(flat) >= FLUSH:
-                yield _lists(flat, ends)
-                flat, ends = array("i"), array("i", [0])
-        if len(ends) > 1:
-            yield _lists(flat, ends)
+            parts.append(code.encode(value.as_py() or ""))
+            ends.append(ends[-1] + len(parts[-1]) // 4)
+            if ends[-1] >= FLUSH:
+                yield _lists(parts, ends)
+                parts, ends = [], [0]
+        if parts:
+            yield _lists(parts, ends)
 
     return _with_column(docs, ids, "array<int>", text, work)
 
 
-def _lists(flat: array, ends: array) -> pa.Array:
-    values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
-    offsets = pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)])
-    return pa.ListArray.from_arrays(offsets, values)
+def _lists(parts: list[bytes], ends: list[int]) -> pa.Array:
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def decode(
