@@ -38,7 +38,8 @@ CACHE_CHARS = 40
 #: Ids or characters after which a worker hands on what it has.
 FLUSH = 1 << 22
 _END = "</w>"
-_PLAIN = 0x230
+#: Characters of plain texts, and those that their lower case can be.
+_PLAIN, _LOWERED = 0x230, 0x300
 
 
 @dataclass(frozen=True)
@@ -122,7 +123,7 @@ class Coder:
         self.plain = re.compile(f"[\0-{chr(_PLAIN - 1)}]*")
         rules = content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         for name in (r"\p{L}", r"\p{N}", r"\s"):
-            members = [chr(c) for c in range(_PLAIN) if regex.match(name, chr(c))]
+            members = [chr(c) for c in range(_LOWERED) if regex.match(name, chr(c))]
             rules = rules.replace(name, "".join(map(re.escape, members)))
         self.words = re.compile(rules)
         cutter = Tokenizer.from_str(source)
