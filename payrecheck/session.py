@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: The folder of a local application that names none, by its id; the setting itself is fixed
+#: when a session starts.
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(app: str = "payrecheck", cores: str = "*") -> SparkSession:
@@ -36,14 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(
             f"set {CHECKPOINT_CONF} to a folder every executor can reach; "
             "staged tables must survive the loss of a machine."
         )
-    folder = tempfile.mkdtemp(prefix="payrecheck-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="payrecheck-")
+    return _LOCAL[context.applicationId]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
