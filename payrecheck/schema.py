@@ -111,6 +111,8 @@ RECORDING = T.StructType(
         T.StructField("response_json", T.StringType()),
     ]
 )
+# As stored: with the request that the key is the hash of.
+STORED_RECORDING = T.StructType([*RECORDING.fields, T.StructField("request_json", T.StringType())])
 
 # Names that appear in results.
 SIGNALS = (
