@@ -15,21 +15,22 @@ def _observed(field: str) -> Column:
     return F.col(field) if is_money_or_date else non_blank(F.col(field))
 
 
-def aggregate_payments(lines: DataFrame) -> DataFrame:
-    """One payment per ``transaction_id``, with exact sums.
+def _fields(columns: list[str]) -> list[str]:
+    """The fields whose values are agreed on: identity, and keys that are there already."""
+    carried = ("vendor_canonical", "invoice_canonical")
+    marked = {c.removeprefix("_lo_") for c in columns}
+    return [*IDENTITY_FIELDS, *(f for f in carried if f in marked)]
 
-    An identity field keeps its value only when every line that has one agrees;
-    ``min = max`` says so without a custom aggregate, in one map-side combined
-    pass and whatever the line order.  Fields that disagree become null and are
-    named in ``disagreed_fields``.
+
+def payment_state(lines: DataFrame) -> DataFrame:
+    """What is known of each payment, in a form that later lines can be merged into.
+
+    ``transaction_id``, the sum of ``amount``, ``line_count``, the set of
+    ``distinct_line_amounts``, and the least and greatest value of every identity field.  Each of
+    them is the same whatever the order and grouping of the lines.
     """
-    carried = [
-        f
-        for f in ("vendor_canonical", "invoice_canonical")
-        if f in lines.columns
-    ]
-    fields = [*IDENTITY_FIELDS, *carried]
     missing_id = F.raise_error(F.lit("transaction_id is required"))
+    fields = _fields(lines.columns)
     observed = lines.select(
         F.coalesce(non_blank(F.col("transaction_id")), missing_id).alias(
             "transaction_id"
@@ -42,13 +43,34 @@ def aggregate_payments(lines: DataFrame) -> DataFrame:
         for f in fields
         for bound, mark in ((F.min, "_lo_"), (F.max, "_hi_"))
     ]
-    grouped = observed.groupBy("transaction_id").agg(
+    return observed.groupBy("transaction_id").agg(
         F.sum("amount").cast(MONEY).alias("amount"),
         F.count(F.lit(1)).alias("line_count"),
         F.sort_array(F.collect_set("amount")).alias("distinct_line_amounts"),
         *bounds,
     )
 
+
+def merge_states(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The states of two sets of lines as the state of both; at most two rows of an id meet."""
+    bounds = [c for c in one.columns if c.startswith(("_lo_", "_hi_"))]
+    sets = F.flatten(F.collect_list("distinct_line_amounts"))
+    return (
+        one.unionByName(other)
+        .groupBy("transaction_id")
+        .agg(
+            F.sum("amount").cast(MONEY).alias("amount"),
+            F.sum("line_count").alias("line_count"),
+            F.sort_array(F.array_distinct(sets)).alias("distinct_line_amounts"),
+            *[(F.min if c.startswith("_lo_") else F.max)(c).alias(c) for c in bounds],
+        )
+    )
+
+
+def payments_of_state(state: DataFrame) -> DataFrame:
+    """One payment per state; fields whose bounds differ become null and are named."""
+    fields = _fields(state.columns)
+
     def lo(f: str) -> Column:
         return F.col(f"_lo_{f}")
 
@@ -72,7 +94,18 @@ def aggregate_payments(lines: DataFrame) -> DataFrame:
         "distinct_line_amounts": F.col("distinct_line_amounts"),
         "disagreed_fields": disagreed.alias("disagreed_fields"),
     }
-    return grouped.select(*[built[f] for f in TRANSACTION.fieldNames()])
+    return state.select(*[built[f] for f in TRANSACTION.fieldNames()])
+
+
+def aggregate_payments(lines: DataFrame) -> DataFrame:
+    """One payment per ``transaction_id``, with exact sums.
+
+    An identity field keeps its value only when every line that has one agrees;
+    ``min = max`` says so without a custom aggregate, in one map-side combined
+    pass and whatever the line order.  Fields that disagree become null and are
+    named in ``disagreed_fields``.
+    """
+    return payments_of_state(payment_state(lines))
 
 
 def field_disagreements(payments: DataFrame) -> DataFrame:
