@@ -115,10 +115,11 @@ def shingle_sets(words: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndar
             np.not_equal(s[1:], s[:-1], out=new[1:])
             out.append(s[new])
         elif b > a:
-            h = np.uint64(b - a)
-            for w in words[a:b]:
-                h = mix(np.array([h], np.uint64))[0] + w
-            out.append(mix(np.array([h], np.uint64)))
+            # Arrays wrap around without a warning; numbers do not.
+            h = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                h = mix(h) + words[k : k + 1]
+            out.append(mix(h))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
