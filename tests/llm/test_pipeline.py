@@ -118,5 +118,20 @@ def test_stages_keep_the_columns_and_follow_the_list():
         "quality rules", "line dedup", "n-gram jaccard join", "benchmark decontamination",
         "sentencepiece encoding and decoding",
     ]
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{k}" for k in range(1, 11)}
-    assert set(ORACLES) == {"op2_site_lines", "op9_quality_rules"}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{k}" for k in range(1, 14)}
+    assert set(ORACLES) == {"op2_site_lines", "op9_quality_rules", "op12_merkle_manifest"}
+
+
+def test_line_dedup_with_columns_called_as_its_own(spark):
+    import corpus_pipeline as C
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n_dropped int, n_lines int"
+    rows = [(k, f"own words {k}\nshared boiler plate line", "en", "s", 9, -1, -2) for k in range(30)]
+    rows += [(99, None, None, None, None, -1, -2)]
+    got = C.line_dedup(spark, spark.createDataFrame(rows, kind), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_dropped", "n_lines"]
+    for r in got.collect():
+        assert (r.n_dropped, r.n_lines) == (-1, -2)
+        assert (r.text, r.n_chars) == (
+            (None, None) if r.doc_id == 99 else (f"own words {r.doc_id}", len(f"own words {r.doc_id}"))
+        )
