@@ -339,6 +339,33 @@ def planted_truth(spark, d):
     )
 
 
+@registered(
+    q.query(
+        q.LEDGER,
+        _PLANTED,
+        f"both_ledgers AS (SELECT * FROM ledger UNION ALL BY NAME SELECT {_PLANTED_FIELDS} FROM planted)",
+        select="""
+SELECT l.transaction_id, l.vendor_name_raw, l.amount, l.invoice_date, l.description,
+  (SELECT string_agg(case_id, ',' ORDER BY case_id) FROM cases_of_truth WHERE list_contains(ids, l.transaction_id))
+    AS cases
+FROM both_ledgers l""",
+    )
+)
+def labelled_ledger(spark, d):
+    """A ledger and its truth, published twice and read back; each line with the case it is of."""
+    path = Q._scratch(spark, "labelled")
+    ledger, truth = P.plant_cases(L.lines_of(spark, d))
+    ledger, truth = stage(ledger, "planted-ledger"), stage(truth, "truth")
+    sinks.write_labelled(ledger.limit(5), truth.limit(2), path)
+    sinks.write_labelled(ledger, truth, path)
+    lines, cases = sinks.read_labelled(spark, path)
+    member = cases.select(F.explode("transaction_ids").alias("transaction_id"), "case_id")
+    return lines.join(member, "transaction_id", "left").select(
+        "transaction_id", "vendor_name_raw", "amount", "invoice_date", "description",
+        F.col("case_id").alias("cases"),
+    )
+
+
 Q.ORACLES["planted_cases_score"] = q.query(
     q.LEDGER,
     _PLANTED,
