@@ -8,10 +8,11 @@ offset and its place in the bucket; shard and slot are that place modulo and
 divided by the number of shards, so counts differ by one at most and slots have no
 gaps.
 
-Only DataFrame functions run here.  ``docs`` must be a stored table, so that a
-task that is run again reads the same records in the same order; the shuffled
-buckets are written before offsets are taken from them, so no part of the result can
-mix two orders.
+Only DataFrame functions run here.  ``docs`` must be a stored table.  Of Parquet files a record's
+place is its file's name and its row there, and the number of buckets follows from the bytes alone, so
+one seed and table give one order on any cluster.  Other inputs have the order of their partitions,
+which must be the same when a task runs again.  The shuffled buckets are written before offsets are
+taken from them, so no part of the result can mix two orders.
 
 Defined results: a null text has size 1 and the checksum of an empty one; repeated
 rows, null ids and empty texts are records like others; an empty table gives
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from payrecheck.session import stage
 
 #: Buckets whose offsets may be broadcast; more meet their records by a shuffle.
 BROADCAST_BUCKETS = 1_000_000
+#: Buckets of an input that would fit in fewer.
+LEAST_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -44,19 +48,32 @@ def _bucket_count(docs: DataFrame, rule: ShardRule) -> int:
     texts = [c for c, t in docs.dtypes if t == "string"]
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(64))
     total = docs.agg(F.sum(size)).first()[0] or 0
-    # Small inputs take several buckets a core, so that all cores are used.
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-total // rule.bucket_bytes), min(8 * cores, total // 4096))
+    # Small inputs take several buckets as well, so that all cores are used.
+    return max(1, -(-total // rule.bucket_bytes), min(LEAST_BUCKETS, total // 4096))
+
+
+def _placed(docs: DataFrame, rule: ShardRule) -> DataFrame:
+    """record, place: a seeded hash of where the record stands in the input."""
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    try:
+        held = docs.select(
+            record,
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.row_index").alias("row"),
+        )
+    except AnalysisException:
+        held = docs.select(record, F.lit("").alias("file")).withColumn(
+            "row", F.monotonically_increasing_id()
+        )
+    return held.select("record", F.xxhash64(F.lit(rule.seed), "file", "row").alias("place"))
 
 
 def shuffle_records(docs: DataFrame, rule: ShardRule = ShardRule()) -> DataFrame:
     """``docs`` with ``shard`` (int) and ``slot`` (long) in a uniformly random order."""
     names = docs.columns
     buckets = _bucket_count(docs, rule)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"))
-    place = F.xxhash64(F.lit(rule.seed), F.monotonically_increasing_id())
     scattered = (
-        held.withColumn("place", place)
+        _placed(docs, rule)
         .withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
         .repartition(buckets, "bucket")
     )

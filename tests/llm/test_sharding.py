@@ -53,3 +53,47 @@ def test_shards_are_written(spark):
     write_shards(docs, folder, ShardRule(shards=3))
     back = spark.read.parquet(folder)
     assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 34, 1: 33, 2: 33}
+
+
+def test_one_order_however_the_files_are_cut(spark, tmp_path):
+    """More cores, or other splits, change neither shard nor slot."""
+    path = str(tmp_path / "records")
+    docs = spark.createDataFrame(rows(3000), KIND).drop("shard")
+    docs.coalesce(2).write.option("parquet.block.size", 4096).parquet(path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    was = [spark.conf.get(n) for n in names]
+    found = []
+    try:
+        for size in ("64m", "4k"):
+            for n, v in zip(names, (size, "1"), strict=True):
+                spark.conf.set(n, v)
+            table = spark.read.parquet(path)
+            found.append((table.rdd.getNumPartitions(), sorted(map(repr, shuffle_records(table).collect()))))
+    finally:
+        for n, v in zip(names, was, strict=True):
+            spark.conf.set(n, v)
+    assert found[0][0] != found[1][0]
+    assert found[0][1] == found[1][1]
+
+
+def test_equals_a_plain_two_pass_shuffle_up_to_the_order_in_buckets(spark, tmp_path):
+    """The same records in the same buckets, buckets one after the other."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "records")
+    spark.range(2000).selectExpr("id AS doc_id", "repeat('y', 100) AS text").coalesce(1).write.parquet(path)
+    table, rule = spark.read.parquet(path), ShardRule(shards=3, bucket_bytes=20_000)
+    placed = table.select("doc_id", F.xxhash64(F.lit(rule.seed), "_metadata.file_name", "_metadata.row_index").alias("p"))
+    hashes = {r.doc_id: r.p for r in placed.collect()}
+    total = 2000 * 164
+    buckets = max(1, -(-total // 20_000), min(64, total // 4096))
+    plain = {}
+    for doc, h in hashes.items():
+        plain.setdefault(h % buckets, set()).add(doc)
+    order = {r.slot * 3 + r.shard: r.doc_id for r in shuffle_records(table, rule).collect()}
+    at = 0
+    for bucket in sorted(plain):
+        n = len(plain[bucket])
+        assert {order[k] for k in range(at, at + n)} == plain[bucket]
+        at += n
+    assert at == 2000
