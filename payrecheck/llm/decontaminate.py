@@ -2,15 +2,17 @@
 
 Every window of a document that is as long as a benchmark item gets a SimHash
 of its words; a document that is shorter than the item is one window as a whole.
-Items are indexed by four 16-bit blocks of theirs, each with
-all values up to two bits away: two fingerprints within the radius of 11 differ in at most
-two bits of some block, so the index misses none of them.  Windows can reach the
-similarity beyond that radius (with other words at an end), so those that hold
-enough of an item's n-grams are candidates too; they are found by the item's rarest
-n-grams, of which such a window must have one, and none is missed.  Candidates are
+Items are indexed by four 16-bit blocks of theirs, and a window looks up
+all values up to four bits away: two fingerprints within the radius of 19 differ in at most
+four bits of some block, so the index misses none of them.  Candidates are
 verified by the exact weighted Jaccard similarity of their word 5-grams, each
 weighted by how often it occurs.
 
+A window can reach the similarity beyond that radius, mostly with other words at an end of
+a short item.  ``exact=True`` adds the windows that hold enough of an item's n-grams, found by
+the item's rarest n-grams, of which such a window must have one, so none is missed; ``recall``
+says what share of them the index finds.
+
 A window can only reach the similarity if enough of its n-grams occur in some
 item; windows that can not are passed over before they are hashed.  That bound is exact.
 Documents are read once per block of items and not shuffled.  A block is bounded by the
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 from math import ceil
 
@@ -40,21 +42,27 @@ from payrecheck.llm.shingles import mix, pieces, word_hashes
 
 @dataclass(frozen=True)
 class LeakRule:
-    """``similarity`` of a window and an item; ``block_items``, ``block_bytes`` bound a pass."""
+    """``similarity`` of a window and an item; ``block_items``, ``block_bytes`` bound a pass.
+
+    ``exact``: also windows beyond the radius of the index.
+    """
 
     words: int = 5
     similarity: float = 0.8
+    exact: bool = False
     block_items: int = 20_000
     block_bytes: int = 16 << 20
 
 
-BLOCKS, BLOCK_BITS, NEAR = 4, 16, 2
+BLOCKS, BLOCK_BITS, NEAR = 4, 16, 4
 RADIUS = BLOCKS * (NEAR + 1) - 1
 _MASKS = np.array(
     [sum(1 << b for b in bits) for k in range(NEAR + 1) for bits in combinations(range(16), k)],
     np.uint32,
 )
 _SEEN_BITS = 22
+#: Windows looked up at once.
+_WINDOWS = 64
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -111,14 +119,13 @@ class _Items:
             seen[known >> np.uint64(64 - _SEEN_BITS)] = True
             self.vocabulary[size] = known, seen
         self.own = [np.array(sorted(g), np.uint64) for g in self.grams]
-        self.rare = {size: self._rarest(size) for size in self.by_size}
+        self.rare = {size: self._rarest(size) for size in self.by_size} if rule.exact else {}
         self.index = []
         for b in range(BLOCKS):
-            key = self._block(self.prints, b)[:, None] ^ _MASKS[None, :]
-            owner = np.repeat(np.arange(len(self.ids)), len(_MASKS))
-            order = np.argsort(key.ravel(), kind="stable")
-            first = np.searchsorted(key.ravel()[order], np.arange((1 << BLOCK_BITS) + 1))
-            self.index.append((first, owner[order]))
+            key = self._block(self.prints, b)
+            order = np.argsort(key, kind="stable")
+            first = np.searchsorted(key[order], np.arange((1 << BLOCK_BITS) + 1))
+            self.index.append((first, order))
 
     def _rarest(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n-grams, the first owner of each, and the items that own them.
@@ -161,9 +168,14 @@ class _Items:
         met = set()
         for b in range(BLOCKS):
             first, owner = self.index[b]
-            for w, key in enumerate(self._block(prints, b).tolist()):
-                for i in owner[first[key] : first[key + 1]].tolist():
-                    met.add((w, i))
+            there = first[1:] > first[:-1]
+            keys = self._block(prints, b)
+            for at in range(0, len(keys), _WINDOWS):
+                near = keys[at : at + _WINDOWS, None] ^ _MASKS[None, :]
+                for w, m in np.argwhere(there[near]).tolist():
+                    key = int(near[w, m])
+                    for i in owner[first[key] : first[key + 1]].tolist():
+                        met.add((at + w, i))
         for w, i in sorted(met):
             if int(prints[w] ^ self.prints[i]).bit_count() <= RADIUS:
                 yield w, i
@@ -204,7 +216,8 @@ class _Items:
             met = np.concatenate(([0], np.cumsum(known)))
             if not met[-1]:
                 continue
-            pairs = set(self.sharing(grams, np.flatnonzero(known), size))
+            exact = self.sharing(grams, np.flatnonzero(known), size) if self.rule.exact else ()
+            pairs = set(exact)
             for n in lengths:
                 held = min(n, len(words))
                 m = held - size + 1
@@ -319,6 +332,16 @@ def find_items(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -
     return out
 
 
+def recall(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -> tuple[int, int]:
+    """How many of all items within documents the index finds, and how many there are."""
+    keys = ["doc_id", "item_id"]
+    every = find_items(docs, items, replace(rule, exact=True)).select(*keys).distinct()
+    found = find_items(docs, items, replace(rule, exact=False)).select(*keys).distinct()
+    both = every.withColumn("every", F.lit(1)).join(found.withColumn("found", F.lit(1)), keys, "left")
+    row = both.agg(F.count("found").alias("found"), F.count("every").alias("every")).first()
+    return row.found, row.every
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     at = docs.columns.index("text")

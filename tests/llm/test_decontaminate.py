@@ -141,3 +141,23 @@ def test_changed_ends_within_the_similarity(spark):
         assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == want
     kept = {r.doc_id for r in drop_contaminated(d, i).collect()}
     assert kept == {a for a, _ in docs} - {a for a, _ in want}
+
+
+def test_exact_adds_what_lies_beyond_the_radius(spark, monkeypatch):
+    """With a radius of nought the index finds unchanged windows only; ``exact`` finds all."""
+    from payrecheck.llm import decontaminate as D
+
+    rng = random.Random(11)
+    words = lambda n: [rng.choice("bcdfgh") + rng.choice("aeiou") + rng.choice("lmnr") for _ in range(n)]
+    texts = [words(60) for _ in range(6)]
+    items = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    docs = [(k, " ".join(words(9) + w + words(9))) for k, w in enumerate(texts)]
+    docs += [(10 + k, " ".join(words(3) + w[3:])) for k, w in enumerate(texts)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert D.recall(d, i) == (12, 12)
+    held = _Items([k for k, _ in items], [t for _, t in items], LeakRule())
+    assert not held.rare and _Items([0], ["a b"], LeakRule(exact=True)).rare
+    monkeypatch.setattr(D, "RADIUS", 0)
+    near = _Items([k for k, _ in items], [t for _, t in items], LeakRule())
+    assert all(set(near.candidates(near.prints)) == {(k, k) for k in range(6)} for _ in range(1))
