@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from checks import ledgers as L
@@ -137,6 +139,44 @@ def payments_json(spark, d):
     )
 
 
+@registered(
+    q.query(
+        q.LEDGER,
+        q.payments(),
+        """
+given AS (SELECT *, CAST(substr(transaction_id, 11, 1) AS INTEGER) AS m FROM tx)""",
+        select=f"""
+SELECT transaction_id, CASE m WHEN 0 THEN 'bad value of amount' WHEN 1 THEN 'missing or extra keys'
+    WHEN 2 THEN 'bad value of invoice_date' END AS failure,
+  CASE WHEN m > 2 THEN amount END AS amount, CASE WHEN m > 2 THEN line_count END AS line_count,
+  CASE WHEN m > 2 THEN invoice_date END AS invoice_date, CASE WHEN m > 2 THEN vendor_canonical END AS vendor_canonical,
+  CASE WHEN m > 2 THEN array_to_string(amounts, ',') END AS amounts
+FROM given""",
+    )
+)
+def payments_json_read(spark, d):
+    """Payments written as JSON lines, some then broken, read back as exact values."""
+    payments = L.payments_of(spark, d)
+    whole, broken = Q._scratch(spark, "payments-json"), Q._scratch(spark, "payments-broken")
+    sinks.write_payments_json(payments, whole)
+    lines = spark.read.text(whole)
+    line = F.col("value")
+    of = F.substring(F.get_json_object(line, "$.transaction_id"), 11, 1).cast("int")
+    unquoted = F.regexp_replace(line, r'"amount":"([0-9.]+)"', r'"amount":$1')
+    other = F.regexp_replace(line, r'"invoice_date":"[0-9-]+"', '"invoice_date":"2024-02-30"')
+    extra = F.regexp_replace(line, r"^\{", '{"more":1,')
+    changed = F.when(of == 0, unquoted).when(of == 1, extra).when(of == 2, other).otherwise(line)
+    lines.select(changed.alias("value")).write.text(broken)
+    read, rejects = sinks.read_payments_json(spark, broken)
+    shown = ("amount", "line_count", "invoice_date", "vendor_canonical")
+    good = read.select(
+        "transaction_id", F.lit(None).cast("string").alias("failure"), *shown,
+        F.array_join(F.col("distinct_line_amounts").cast("array<string>"), ",").alias("amounts"),
+    )
+    bad = rejects.select(F.get_json_object("line", "$.transaction_id").alias("transaction_id"), "failure")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 # --- orders ----------------------------------------------------------------
 
 
@@ -542,6 +582,108 @@ def recording_store(spark, d):
     )
 
 
+_NOTE = 'São "P"\n𝄞 '
+_EXACT = ("amount", "invoice_amount", "invoice_date", "payment_date")
+
+
+def _member(field: str) -> str:
+    if field == "distinct_line_amounts":
+        value = """'["' || array_to_string(amounts, '","') || '"]'"""
+    elif field == "line_count":
+        value = "CAST(line_count AS VARCHAR)"
+    elif field in _EXACT:
+        value = f"""coalesce('"' || CAST({field} AS VARCHAR) || '"', 'null')"""
+    else:
+        value = f"coalesce(CAST(to_json({field}) AS VARCHAR), 'null')"
+    return f"""'"{field}":' || {value}"""
+
+
+_RECORD = "'{' || " + " || ',' || ".join(_member(f) for f in A.RECORD_FIELDS) + " || '}'"
+_REQUESTS = f"""
+records AS MATERIALIZED (SELECT transaction_id, vk, ik, {_RECORD} AS record FROM tx),
+open_pairs AS (SELECT * FROM ruled WHERE rule IS NULL),
+near AS (
+  SELECT candidate_id, t.transaction_id, t.record,
+         row_number() OVER (PARTITION BY candidate_id ORDER BY t.transaction_id) - 1 AS place,
+         count(*) OVER (PARTITION BY candidate_id) AS "of"
+  FROM open_pairs c JOIN records l ON c.left_id = l.transaction_id
+  JOIN records t ON t.vk = l.vk AND t.ik = l.ik AND t.transaction_id NOT IN (c.left_id, c.right_id))"""
+
+
+def _near(spark, d):
+    """Open candidates, the other payments of the left one's bill, and the payments."""
+    payments = L.payments_of(spark, d)
+    left = stage(dismiss(B.block(payments), payments)[0], "residual")
+    vendor = F.coalesce("vendor_canonical", F.expr("nullif(trim(vendor_name_raw), '')")).alias("vk")
+    bill = F.coalesce("invoice_canonical", F.expr("nullif(trim(invoice_number_raw), '')")).alias("ik")
+    keys = payments.select("transaction_id", vendor, bill)
+    of_left = left.join(keys.withColumnRenamed("transaction_id", "left_id"), "left_id")
+    near = of_left.join(keys, ["vk", "ik"]).filter("transaction_id NOT IN (left_id, right_id)")
+    return left, near.select("candidate_id", "transaction_id"), payments
+
+
+@registered(
+    q.query(
+        *Q._RULED,
+        _REQUESTS,
+        select='SELECT candidate_id, transaction_id, place, "of", sha256(record) AS record_sha256 FROM near',
+    )
+)
+def related_records(spark, d):
+    """One row per payment related to an open candidate, in order, with its canonical text."""
+    _, near, payments = _near(spark, d)
+    rows = A.related_rows(near.unionByName(near), payments)
+    return rows.select(
+        "candidate_id", "transaction_id", "place", "of", F.sha2("record", 256).alias("record_sha256")
+    )
+
+
+_HEAD = json.dumps({"content": L.CONFIG.instructions, "role": "system"}, separators=(",", ":"))
+_NOTED = f"""CASE WHEN CAST(substr(left_id, 12, 1) AS INTEGER) < 5
+    THEN '"context":{json.dumps(_NOTE)[:-1]}' || left_id || '",' ELSE '' END"""
+
+
+@registered(
+    q.query(
+        *Q._RULED,
+        _REQUESTS,
+        f"""
+lists AS (
+  SELECT candidate_id, max("of") AS n, string_agg(record, ',' ORDER BY place) FILTER (place < 2) AS related
+  FROM near GROUP BY candidate_id),
+payloads AS (
+  SELECT c.candidate_id, coalesce(n, 0) AS n_related,
+    '{{"candidate":{{"amount_at_risk":"' || CAST(amount_at_risk AS VARCHAR) || '","candidate_id":"'
+    || c.candidate_id || '","signal":"' || signal || '","stage_generated":"blocking","transaction_ids":["'
+    || left_id || '","' || right_id || '"]}},' || {_NOTED}
+    || '"related":[' || coalesce(related, '') || '],"transactions":[' || l.record || ',' || r.record || ']}}' AS payload
+  FROM open_pairs c JOIN records l ON left_id = l.transaction_id JOIN records r ON right_id = r.transaction_id
+  LEFT JOIN lists g ON g.candidate_id = c.candidate_id)""",
+        select=f"""
+SELECT candidate_id, n_related, TRUE AS complete, sha256(payload) AS payload_sha256,
+  sha256('{{"messages":[{_HEAD},{{"content":"'
+    || replace(replace(payload, chr(92), chr(92) || chr(92)), '"', chr(92) || '"')
+    || '","role":"user"}}],"model":"fast-model","response_format":{{"type":"json_object"}}}}') AS request_key
+FROM payloads""",
+    )
+)
+def request_keys(spark, d):
+    """Whole requests with related payments and context, and the hashes that find answers."""
+    left, near, payments = _near(spark, d)
+    noted = left.filter(L.digit("left_id", 12) < 5)
+    context = noted.select(
+        "candidate_id", F.concat(F.lit(_NOTE), F.col("left_id")).alias("context")
+    )
+    requests = A.build_requests(left, payments, L.CONFIG, near, context, related_limit=2)
+    return requests.select(
+        "candidate_id",
+        "n_related",
+        "complete",
+        F.sha2("payload", 256).alias("payload_sha256"),
+        A.request_key(F.col("payload"), L.CONFIG.model_fast, L.CONFIG).alias("request_key"),
+    )
+
+
 # --- review and packets ----------------------------------------------------
 
 _PERSON = "(CAST(substr(c.left_id, 12, 1) AS INTEGER) % 3 = 0)"
