@@ -25,6 +25,7 @@ from payrecheck.sources import ledger_csv as C
 from payrecheck.sources import records as Rec
 from payrecheck.sources import sinks
 from payrecheck.sources.layouts import LOS_ANGELES
+from payrecheck.streaming.live import ask_into_store
 
 # --- sources ---------------------------------------------------------------
 
@@ -684,6 +685,48 @@ def request_keys(spark, d):
     )
 
 
+@registered(
+    q.query(
+        *Q._RULED,
+        Q._JUDGED,
+        select="""
+SELECT candidate_id, CASE WHEN k = 9 THEN 'escalate' ELSE verdict END AS verdict,
+  CASE WHEN k = 9 THEN 0.8 ELSE confidence END AS confidence,
+  (SELECT count(*) FROM answered WHERE k = 9) AS asked, CAST(0 AS BIGINT) AS asked_again
+FROM answered""",
+    )
+)
+def live_answers(spark, d):
+    """What has no recorded answer is asked, kept in the store and judged with the rest."""
+    payments = L.payments_of(spark, d)
+    left = stage(dismiss(B.block(payments), payments)[0], "residual")
+    requests = stage(A.build_requests(left, payments, L.CONFIG), "requests")
+    store = Q._scratch(spark, "live-store")
+    known = L.recordings_for(requests.join(left.select("candidate_id", "left_id"), "candidate_id"))
+    sinks.append_recordings(known, store)
+
+    def ask(texts):
+        def answer(text):
+            payload = json.loads(json.loads(text)["messages"][1]["content"])
+            content = {
+                "candidate_id": payload["candidate"]["candidate_id"], "verdict": "escalate",
+                "explanation_type": "none", "reasoning": "asked", "evidence": [], "confidence": 0.8,
+            }
+            message = {"content": json.dumps(content)}
+            return json.dumps({"choices": [{"finish_reason": "stop", "message": message}]})
+
+        return texts.map(answer)
+
+    asked, again = (
+        ask_into_store(requests, store, L.CONFIG.model_fast, L.CONFIG, ask) for _ in range(2)
+    )
+    judged = A.adjudicate_requests(requests, sinks.read_recordings(spark, store), L.CONFIG)
+    return judged.select(
+        "candidate_id", "verdict", "confidence",
+        F.lit(asked).alias("asked"), F.lit(again).alias("asked_again"),
+    )
+
+
 # --- review and packets ----------------------------------------------------
 
 _PERSON = "(CAST(substr(c.left_id, 12, 1) AS INTEGER) % 3 = 0)"
