@@ -18,6 +18,7 @@ from payrecheck.operators import planting as P
 from payrecheck.operators import review as R
 from payrecheck.operators import scoring as S
 from payrecheck.operators.dismissal import dismiss
+from payrecheck.operators.payments import aggregate_payments
 from payrecheck.plans.runs import full_run, rules_only, rules_only_run
 from payrecheck.schema import CANDIDATE, DECOY_REASONS, LINE_FIELDS
 from payrecheck.session import stage
@@ -178,6 +179,31 @@ def payments_json_read(spark, d):
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+_HOT = "CASE WHEN CAST(substr(transaction_id, 4) AS BIGINT) % 3 = 0 THEN 'HOT' ELSE transaction_id END"
+_SPREAD = "CAST(amount + CAST(substr(transaction_id, 4) AS BIGINT) AS DECIMAL(18,2))"
+
+
+@registered(
+    q.query(
+        q.LEDGER,
+        f"hot AS (SELECT * REPLACE ({_HOT} AS transaction_id, {_SPREAD} AS amount) FROM ledger)",
+        q.payments("hot"),
+        select="SELECT transaction_id, amount, line_count, len(amounts) AS n_amounts,"
+        " sha256(array_to_string(amounts, ',')) AS amounts_sha256, array_to_string(disagreed, ',') AS disagreed FROM tx",
+    )
+)
+def payments_hot_id(spark, d):
+    """One id with a third of all lines, most of them with an amount of its own."""
+    lines = L.lines_of(spark, d).withColumns(
+        {"transaction_id": F.expr(_HOT), "amount": F.expr(_SPREAD)}
+    )
+    amounts = F.array_join(F.col("distinct_line_amounts").cast("array<string>"), ",")
+    return aggregate_payments(lines).select(
+        "transaction_id", "amount", "line_count", F.size("distinct_line_amounts").cast("bigint").alias("n_amounts"),
+        F.sha2(amounts, 256).alias("amounts_sha256"), F.array_join("disagreed_fields", ",").alias("disagreed"),
+    )
+
+
 # --- orders ----------------------------------------------------------------
 
 
