@@ -7,6 +7,11 @@ from decimal import Decimal
 
 from payrecheck.operators.blocking import block
 from payrecheck.operators.dismissal import RULE_FIELDS, dismiss, rule_candidates
+from payrecheck.operators.explanations import (
+    SERIES_FIELDS,
+    related_payments,
+    series_candidates,
+)
 from payrecheck.operators.findings import SHOWN_FIELDS, rules_only_verdicts
 from payrecheck.operators.review import PAYMENT_FIELDS, rules_only_findings
 from payrecheck.plans.runs import payments_from_lines
@@ -74,3 +79,14 @@ def test_carried_rows_of_a_hot_key(spark, monkeypatch):
         dismiss(block(payments, cap=2), payments)[0],
         dismiss(rule_candidates(payments, cap=2), payments)[0],
     )
+
+
+def test_series_meet_payments_not_candidates(spark):
+    payments = _payments(spark)
+    carried = series_candidates(payments)
+    related = related_payments(carried, payments)
+    _same(related_payments(block(payments), payments), related)
+    assert set(SERIES_FIELDS) <= set(related.columns)
+    # Every join stands below the pairs.
+    plan = _plan(related)
+    assert "Join" not in plan[: plan.index("posexplode")]
