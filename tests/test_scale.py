@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+from checks import whole_results as W
 from payrecheck.operators.blocking import block
 from payrecheck.operators.dismissal import RULE_FIELDS, dismiss, rule_candidates
 from payrecheck.operators.explanations import (
@@ -90,3 +91,23 @@ def test_series_meet_payments_not_candidates(spark):
     # Every join stands below the pairs.
     plan = _plan(related)
     assert "Join" not in plan[: plan.index("posexplode")]
+
+
+def test_splits_grow_with_the_files(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(60_000).selectExpr("repeat('x', 99) AS value").coalesce(1).write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+
+    def read():
+        seen.append(int(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+        return spark.read.text(path)
+
+    assert W._divided(spark, path, read).count() == 60_000
+    W._SPLITS, was = 10, W._SPLITS
+    try:
+        W._divided(spark, path, read)
+    finally:
+        W._SPLITS = was
+    assert seen == [W._SPLIT, 600_000]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
