@@ -5,11 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from checks import whole_results as W
 from payrecheck.operators.blocking import block
 from payrecheck.operators.dismissal import RULE_FIELDS, dismiss, rule_candidates
 from payrecheck.operators.explanations import (
     SERIES_FIELDS,
+    explain_candidates,
+    explained_candidates,
     related_payments,
     series_candidates,
 )
@@ -93,6 +97,21 @@ def test_series_meet_payments_not_candidates(spark):
     assert "Join" not in plan[: plan.index("posexplode")]
 
 
+def test_explanations_read_carried_rows_without_a_join_of_candidates(spark):
+    said = ["Progress payment 1 of 5", "progress payment 2 of 5", "Line 1 of 2", "line 2 of 2",
+            "VOID", "balance outstanding", None]
+    text = F.element_at(
+        F.array(*[F.lit(t) for t in said]), F.substring("transaction_id", 2, 4).cast("int") % 7 + 1
+    )
+    payments = stage(_payments(spark, 50).withColumn("description", text), "described")
+    tests = explain_candidates(explained_candidates(payments), payments)
+    _same(explain_candidates(block(payments), payments), tests)
+    found = tests.agg(*[F.max(c) for c in ("cancelled", "line_split", "progress_payment")]).first()
+    assert all(found)
+    plan = _plan(tests)
+    assert "Join" not in plan[: plan.index("posexplode")]
+
+
 def test_splits_grow_with_the_files(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.range(60_000).selectExpr("repeat('x', 99) AS value").coalesce(1).write.text(path)
