@@ -18,7 +18,8 @@ from payrecheck.operators.explanations import (
     series_candidates,
 )
 from payrecheck.operators.findings import SHOWN_FIELDS, rules_only_verdicts
-from payrecheck.operators.review import PAYMENT_FIELDS, rules_only_findings
+from payrecheck.operators.packets import confirmed_findings, journal_entries
+from payrecheck.operators.review import PAYMENT_FIELDS, pending, rules_only_findings
 from payrecheck.plans.runs import payments_from_lines
 from payrecheck.schema import LEDGER_LINE
 from payrecheck.session import stage
@@ -112,6 +113,21 @@ def test_explanations_read_carried_rows_without_a_join_of_candidates(spark):
     assert "Join" not in plan[: plan.index("posexplode")]
 
 
+def test_findings_and_decisions_are_never_broadcast(spark):
+    """Of 40 payments there are 780 pairs of one key, which the optimiser does not expect."""
+    payments = _payments(spark)
+    findings = rules_only_findings(rule_candidates(payments, fields=PAYMENT_FIELDS), payments)
+    decisions = findings.select(
+        "candidate_id", F.lit("R. Viewer").alias("approver"), F.lit("confirmed").alias("decision"),
+        F.lit("checked").alias("reason"), F.lit(True).alias("becomes_rule"),
+    )
+    entries = journal_entries(confirmed_findings(findings, decisions))
+    assert entries.count() == 2 * findings.count()
+    for df in (entries, pending(findings, decisions.limit(1))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_splits_grow_with_the_files(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.range(60_000).selectExpr("repeat('x', 99) AS value").coalesce(1).write.text(path)
