@@ -19,7 +19,15 @@ from payrecheck.operators.explanations import (
 )
 from payrecheck.operators.findings import SHOWN_FIELDS, rules_only_verdicts
 from payrecheck.operators.packets import confirmed_findings, journal_entries
-from payrecheck.operators.review import PAYMENT_FIELDS, pending, rules_only_findings
+from payrecheck.operators.review import (
+    DEPARTMENT_FACTS,
+    PAYMENT_FIELDS,
+    finding_view,
+    pending,
+    review_queue,
+    rules_only_findings,
+    with_department_facts,
+)
 from payrecheck.plans.runs import payments_from_lines
 from payrecheck.schema import LEDGER_LINE
 from payrecheck.session import stage
@@ -128,6 +136,21 @@ def test_findings_and_decisions_are_never_broadcast(spark):
         assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
 
 
+def test_departments_are_read_once_a_payment(spark):
+    payments = _payments(spark)
+    plain = rule_candidates(payments, fields=PAYMENT_FIELDS)
+    known = with_department_facts(payments)
+    carried = rule_candidates(known, fields=(*PAYMENT_FIELDS, *DEPARTMENT_FACTS))
+    plain, carried = (rules_only_findings(c, payments) for c in (plain, carried))
+    none = plain.select("candidate_id").limit(0)
+    _same(finding_view(plain), finding_view(carried))
+    _same(review_queue(plain, none), review_queue(carried, none))
+    assert finding_view(plain).schema["left"] == finding_view(carried).schema["left"]
+    # Titles are written below the pairs.
+    plan = _plan(finding_view(carried))
+    assert "initcap" in plan and "initcap" not in plan[: plan.index("posexplode")]
+
+
 def test_splits_grow_with_the_files(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.range(60_000).selectExpr("repeat('x', 99) AS value").coalesce(1).write.text(path)
